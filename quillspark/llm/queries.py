@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, secrets
+from . import mixing, pii, quality, secrets, simhash
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
+    "op5_simhash": simhash.op5_simhash,
     "op6_secrets": secrets.op6_secrets,
     "op10_pii": pii.op10_pii,
 }
