@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, secrets, simhash
+from . import decontam, mixing, pii, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_mixing": mixing.op2_mixing,
+    "op3_decontam": decontam.op3_decontam,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_secrets": secrets.op6_secrets,
     "op10_pii": pii.op10_pii,
