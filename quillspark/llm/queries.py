@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, mixing, pii, quality, secrets, simhash, toxicity
+from . import decontam, langid, mixing, pii, pseudolm, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash": simhash.op5_simhash,
     "op6_secrets": secrets.op6_secrets,
+    "op7_pseudolm": pseudolm.op7_pseudolm,
+    "op9_langid": langid.op9_langid,
     "op10_pii": pii.op10_pii,
 }
 ORACLE_SQL = {"op2_mixing": mixing.ORACLE_SQL}
