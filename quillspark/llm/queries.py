@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, pii, pseudolm, quality, secrets, simhash, toxicity
+from . import decontam, langid, mixing, pii, pseudolm, quality, secrets, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_simhash": simhash.op5_simhash,
     "op6_secrets": secrets.op6_secrets,
     "op7_pseudolm": pseudolm.op7_pseudolm,
+    "op8_suffixes": suffixes.op8_suffixes,
     "op9_langid": langid.op9_langid,
     "op10_pii": pii.op10_pii,
 }
