@@ -1 +1 @@
-"""See the modules of this subpackage."""
+"""Scalar functions."""

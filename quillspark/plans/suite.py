@@ -5,6 +5,9 @@ from __future__ import annotations
 from .entry import REGISTRY, Query
 
 
+from . import q_lines, q_reports  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 
