@@ -84,6 +84,17 @@ class Dialect:
     def to_int(self, x: str) -> str:
         return f"try_cast({x} AS BIGINT)"
 
+    def explode(self, x: str) -> str:
+        return f"explode({x})"
+
+    def like_column(self, x: str, p: str) -> str:
+        return f"regexp_like({x}, {p})"
+
+    def values(self, name: str, columns: str, rows: list[tuple]) -> str:
+        """A literal table; strings are patterns or plain text without backslashes."""
+        cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, int | float) else self.pattern(v)
+        return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS {name}({columns})"
+
     def position(self, x: str, y: str) -> str:
         """Where y first stands in x, from 1; 0 if nowhere."""
         return f"instr({x}, {y})"
@@ -145,6 +156,12 @@ class Duck(Dialect):
     def sha256(self, x: str) -> str:
         return f"sha256({x})"
 
+    def explode(self, x: str) -> str:
+        return f"unnest({x})"
+
+    def like_column(self, x: str, p: str) -> str:
+        return f"regexp_matches({x}, {p})"
+
     def to_double(self, x: str) -> str:
         return f"TRY_CAST({x} AS DOUBLE)"
 

@@ -1,0 +1,325 @@
+"""Field detectors: lines or texts to candidates, and the best candidate of each document.
+
+Catalogs are literal tables, small enough to be broadcast by the planner; pass others of the same columns for production.
+"""
+
+from __future__ import annotations
+
+from ..functions import text as T
+from .both import both
+
+# Catalogs of carriers, codes, vocabularies and phrases.
+CARRIERS = [
+    ("Aetna", "accepted", r"(?i)\baetna\b"), ("Anthem BCBS", "accepted", r"(?i)\banthem\b|\bblue\s*cross\b"), ("Cigna", "accepted", r"(?i)\bcigna\b"),
+    ("Culinary", "not_accepted", r"(?i)\bculinary\b"), ("Humana", "accepted", r"(?i)\bhumana\b"), ("Medicaid", "accepted", r"(?i)\bmedicaid\b"),
+    ("Medicare", "accepted", r"(?i)\bmedicare\b"), ("Molina", "accepted", r"(?i)\bmolina\b"), ("Prominence", "not_accepted", r"(?i)\bprominence\b"),
+    ("Tricare", "accepted", r"(?i)\btri\s*care\b"), ("UMR", "accepted", r"(?i)\bumr\b"), ("Uninsured", "self_pay", r"(?i)uninsured"),
+    ("United Healthcare", "accepted", r"(?i)united\s*health\s*care"), ("WellCare", "not_accepted", r"(?i)well\s*care"),
+]
+CPT = [
+    ("95811", 1, r"(?i)\b95811\b|titration"), ("95783", 2, r"(?i)\b95783\b|pediatric cpap|pediatric titration|child titration"),
+    ("95810", 3, r"(?i)\b95810\b|sleep study|sleep evaluation|diagnostic study|polysomnogra"), ("95782", 4, r"(?i)\b95782\b|pediatric sleep study|pediatric polysomnography|child sleep study"),
+    ("95806", 5, r"(?i)\b95806\b|95800|95801|home sleep"), ("G0399", 6, r"(?i)\bG0399\b"), ("95805", 7, r"(?i)\b95805\b|mslt|multiple sleep latency test|mwt"),
+]
+ICD_ALLOWED = ["G47.33", "G47.30", "G47.31", "G47.37", "R06.83", "R06.09", "R53.83", "G25.81", "F51.9", "J45.909", "I10", "E66.01", "I47.1", "I47.2", "Z95.0", "U07.1"]
+ICD_WEIGHT = {"G47.30": 0, "G47.33": 1, "G47.31": 2, "G47.37": 3, "R06.83": 4, "R06.09": 4, "R53.83": 4, "G25.81": 4, "F51.9": 4}
+SYMPTOMS = [
+    ("snoring", r"(?i)snor(e|ing)", r"(?i)(denies|no|without)[^\n.]{0,60}snor"), ("witnessed_apnea", r"(?i)witnessed\s+(apnea|apneic)|stops?\s+breathing|gasping", r"(?i)denies\s+(witnessed|observed)\s+(apnea|apneic)|no\s+witnessed\s+apneas?"),
+    ("daytime_sleepiness", r"(?i)daytime\s+sleepiness|hypersomnia|nodding\s+off", r"(?i)(denies|no)[^\n.]{0,60}sleepiness"), ("fatigue", r"(?i)fatigue|exhaustion|no\s+energy", r"(?i)(denies|no)[^\n.]{0,60}fatigue"),
+    ("insomnia", r"(?i)insomnia", r"(?i)denies[^\n.]{0,60}insomnia"), ("restless_legs", r"(?i)restless\s+legs?", r"(?i)denies[^\n.]{0,60}restless"),
+]
+SYMPTOM_SKIP = r"(?i)(symptoms\s+include|patient\s+education|if\s+patient|rule\s+out|family\s+history|\bfhx?\b|differential\s+includes)"
+THIRD_PARTY = r"(?i)(mother|father|sister|brother|spouse|husband|wife|partner|daughter|roommate)"
+DME_VENDORS = r"(?i)\b(APRIA|LINCARE|ROTECH|ADAPT|PACIFIC|PRISM|PHILIPS|RESMED)\b"
+DME_CODES = r"\b(E0\d{3}|A703[4-9])\b"
+DME_ISSUES = [("mask_leak", r"(?i)mask\s*leak|air\s*leak"), ("pressure_high", r"(?i)pressure\s*too\s*high|high\s*pressure"), ("pressure_low", r"(?i)pressure\s*too\s*low|low\s*pressure"), ("cpap_user", r"(?i)cpap\s*user|uses\s*cpap|on\s*cpap"), ("not_tolerating", r"(?i)not\s*tolerating|cannot\s*tolerate|intoleran")]
+EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+PHONE = r"\(?\d{3}\)?[\s.-]*\d{3}[\s.-]*\d{4}"
+BUSINESS = r"(pharmacy|walgreens|cvs|labcorp|laboratory|radiology|imaging|quest\s*diagnostics)"
+INSURANCE_ANCHOR = r"(?i)(other\s+insurance|secondary\s+insurance|payer\s*[:-]|plan\s*[:-]|^\s*insurance\s*[:-])"
+# End of fixed values.
+
+
+@both("detect_email")
+def detect_email(q, t):
+    """The first address of each text, without trailing punctuation, in lower case."""
+    return f"SELECT doc_id, {q.replace(f'lower({q.extract("text", EMAIL)})', '[.,;:]+$', '')} AS email FROM {t.intake} WHERE {q.like('text', EMAIL)}"
+
+
+@both("detect_emergency")
+def detect_emergency(q, t):
+    joined = "concat_ws(' | ', text, n1, n2)"
+    return f"""SELECT doc_id, {q.extract('j', r"([A-Z][a-zA-Z'-]+\s+[A-Z][a-zA-Z'-]+)", 1)} AS name, {q.extract('j', r'\(\d{3}\)\s*\d{3}-\d{4}')} AS phone, lower({q.extract('j', r'(?i)(mother|father|parent|spouse|wife|husband|partner|daughter|son|sister|brother|caregiver|guardian|friend)')}) AS relation FROM (
+      SELECT doc_id, {joined} AS j, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS r FROM (SELECT doc_id, line, text, lead(text, 1) OVER (PARTITION BY doc_id ORDER BY line) AS n1, lead(text, 2) OVER (PARTITION BY doc_id ORDER BY line) AS n2 FROM {t.lines}) AS a
+      WHERE {q.like('text', r'(?i)in\s*case\s*of\s*emergency|emergency\s*contact|contact\s*.*emergency')}) AS b WHERE r = 1"""
+
+
+def phones(q, t) -> str:
+    """Distinct phone numbers of each document with their first line, reason of rejection, score and area frequency."""
+    raw = f"SELECT doc_id, line, text, {q.explode(q.extract_all('text', PHONE))} AS raw FROM {t.lines} WHERE {q.like('text', PHONE)}"
+    first = f"SELECT doc_id, digits, min(line) AS line, {q.first_by('text', 'line')} AS text FROM (SELECT doc_id, line, text, {q.replace('raw', '[^0-9]', '')} AS digits FROM ({raw}) AS a) AS b GROUP BY 1, 2"
+    low = "lower(text)"
+    reason = f"CASE WHEN NOT {T.valid_nanp(q, 'digits')} THEN 'nanp' WHEN {T.is_fax(q, 'text')} THEN 'fax' WHEN {T.is_from(q, 'text')} THEN 'from_header' WHEN {q.like(low, r'(provider|referring|physician|npi|ordering|office|clinic)')} THEN 'provider_context' WHEN {q.like(low, BUSINESS)} THEN 'third_party' END"
+    one = lambda p, w: f"CASE WHEN {q.like(low, p)} THEN {w} ELSE 0 END"
+    score = " + ".join(one(p, w) for p, w in ((r"\b[hm]:\s*\(?\d{3}\)?", 20), (r"patient\s*(information|phone|contact)", 15), (r"\bhome\s*phone\b", 12), (r"\bmobile\s*phone\b", 12), (r"phone|tel|cell|mobile", 5), (r"patient", 3), (r"insurance|auth", -5)))
+    scored = f"SELECT doc_id, digits, line, {reason} AS reason, {score} AS base FROM ({first}) AS c"
+    return f"(SELECT doc_id, digits, line, reason, base + CASE WHEN reason IS NULL THEN count(CASE WHEN reason IS NULL THEN 1 END) OVER (PARTITION BY doc_id, substring(digits, 1, 3)) ELSE 0 END AS score FROM ({scored}) AS d) AS phones"
+
+
+@both("detect_phone")
+def detect_phone(q, t):
+    return f"SELECT doc_id, digits, line, score FROM (SELECT doc_id, digits, line, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line, digits) AS place FROM {phones(q, t)} WHERE reason IS NULL) AS x WHERE place = 1 AND score > 0"
+
+
+@both("detect_phone_raw")
+def detect_phone_raw(q, t):
+    return f"SELECT doc_id, digits, line, coalesce(reason, 'kept') AS reason, score FROM {phones(q, t)}"
+
+
+@both("detect_dob")
+def detect_dob(q, t):
+    date = r"\b(0?[1-9]|1[0-2])[/.-](0?[1-9]|[12]\d|3[01])[/.-]((19|20)\d{2})\b"
+    label = q.like("text", r"(?i)(\bdob\b|date\s*of\s*birth)")
+    before = f"coalesce(lag({label}) OVER (PARTITION BY doc_id ORDER BY line), false)"
+    year = f"CAST({q.extract('text', date, 3)} AS INT)"
+    score = f"CASE WHEN 20 - line > 0 THEN 20 - line ELSE 0 END + CASE WHEN label THEN 10 WHEN after THEN 6 ELSE 0 END"
+    value = f"concat(lpad({q.extract('text', date, 1)}, 2, '0'), '/', lpad({q.extract('text', date, 2)}, 2, '0'), '/', {q.extract('text', date, 3)})"
+    return f"""SELECT doc_id, value, score FROM (SELECT doc_id, value, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) AS place FROM (
+      SELECT doc_id, line, {value} AS value, {score} AS score FROM (SELECT doc_id, line, text, {label} AS label, {before} AS after FROM {t.lines}) AS a WHERE {q.like('text', date)} AND {year} BETWEEN 1900 AND 2024 AND (label OR after OR NOT {q.like('text', r'(?i)(referral|order|study|service|visit|signed|fax|date:)')})) AS b) AS c WHERE place = 1"""
+
+
+@both("detect_name")
+def detect_name(q, t):
+    comma, plain = r"(?i)(?:patient|name)\s*:?\s+([A-Z][a-z'-]+),\s*([A-Z][a-z'-]+)", r"(?:Patient|Name)\s*:?\s+([A-Z][a-z'-]+)\s+([A-Z][a-z'-]+)"
+    return f"""SELECT doc_id, first_name, last_name, score FROM (SELECT doc_id, first_name, last_name, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) AS place FROM (
+      SELECT doc_id, line, coalesce({q.extract('text', comma, 2)}, {q.extract('text', plain, 1)}) AS first_name, coalesce({q.extract('text', comma, 1)}, {q.extract('text', plain, 2)}) AS last_name, 10 + CASE WHEN 20 - line > 0 THEN 20 - line ELSE 0 END AS score FROM {t.lines}) AS a
+      WHERE first_name IS NOT NULL AND {T.plausible_name(q, 'first_name')} AND {T.plausible_name(q, 'last_name')}) AS b WHERE place = 1"""
+
+
+@both("detect_address")
+def detect_address(q, t):
+    p = r"(\d{1,6} [A-Za-z0-9 .]+), ([A-Za-z .]+), ([A-Z]{2}) (\d{5})"
+    part = ", ".join(f"{q.extract('text', p, i)} AS {c}" for i, c in enumerate(("street", "city", "state", "zip"), 1))
+    return f"SELECT doc_id, street, city, state, zip FROM (SELECT doc_id, {part}, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS place FROM {t.lines} WHERE {q.like('text', p)}) AS a WHERE place = 1"
+
+
+def cpt_hits(q, t) -> str:
+    intent = lambda code: f"CASE WHEN {q.like('text', f'(?i)(order(ed)?|place\\s+order).{{0,60}}{code}')} THEN 5 WHEN {q.like('text', f'(?i)request(ed)?.{{0,60}}{code}')} THEN 4 WHEN {q.like('text', f'(?i)schedule.{{0,60}}{code}')} THEN 3 WHEN {q.like('text', f'(?i)(consider|evaluate).{{0,60}}{code}')} THEN 2 ELSE 1 END"
+    ranks = "CASE code " + " ".join(f"WHEN '{c}' THEN {intent(c)}" for c, _, _ in CPT) + " END"
+    return f"(SELECT doc_id, code, ord, {ranks} AS intent, {q.like('text', r'(?i)titration|failed\s*(cpap|pap)|pressure\s*too\s*(high|low)')} AS titration FROM {t.intake} JOIN {q.values('catalog', 'code, ord, pattern', CPT)} ON {q.like_column('text', 'pattern')}) AS hits"
+
+
+@both("detect_cpt")
+def detect_cpt(q, t):
+    """The primary code: a paediatric one of no lesser intent, else 95811 with titration, else 95810, else the first."""
+    has = lambda c, v="ord": f"max(CASE WHEN code = '{c}' THEN {v} END)"
+    ped = "max(CASE WHEN code IN ('95782', '95783') THEN intent END)"
+    return f"""SELECT doc_id, CASE WHEN {ped} >= coalesce({has('95810', 'intent')}, 0) THEN {q.first_by("CASE WHEN code IN ('95782', '95783') THEN code END", "CASE WHEN code IN ('95782', '95783') THEN ord - 10 * intent END")}
+      WHEN {has('95811')} IS NOT NULL AND max(CASE WHEN titration THEN 1 ELSE 0 END) = 1 THEN '95811' WHEN {has('95810')} IS NOT NULL THEN '95810' WHEN {has('95811')} IS NOT NULL THEN '95811' ELSE {q.first_by('code', 'ord')} END AS cpt,
+      count(*) AS candidates, max(intent) AS intent FROM {cpt_hits(q, t)} GROUP BY doc_id"""
+
+
+@both("cpt_confidence")
+def cpt_confidence(q, t):
+    return f"SELECT doc_id, CASE WHEN count(*) = 1 THEN 'high' WHEN count(*) = 2 THEN 'medium' ELSE 'low' END AS confidence FROM {cpt_hits(q, t)} GROUP BY doc_id"
+
+
+def icd_codes(q, t) -> str:
+    """Codes by pass: 1 on labelled lines and the two after them, 2 anywhere but on procedure lines; the first pass with any wins."""
+    code = r"\b[A-TV-Z][0-9]{2}[.-]?[0-9A-Z]{0,4}\b"
+    label = q.like("text", r"(?i)(icd-?10|\bicd\b|\bdx\b|diagnos(is|es)|assessment|impression)")
+    near = " OR ".join([label, *[f"coalesce(lag({label}, {k}) OVER (PARTITION BY doc_id ORDER BY line), false)" for k in (1, 2)]])
+    rows = f"SELECT doc_id, line, pass, {q.explode(q.extract_all('text', code))} AS raw FROM (SELECT doc_id, line, text, CASE WHEN {near} THEN 1 WHEN {q.like('text', r'(?i)(\bCPT\b|procedure|9580(6|10|11))')} THEN 9 ELSE 2 END AS pass FROM {t.lines}) AS a WHERE {q.like('text', code)}"
+    kept = f"SELECT doc_id, icd, min(pass) AS pass, min(line) AS line FROM (SELECT doc_id, line, pass, {T.icd_normalized(q, 'raw')} AS icd FROM ({rows}) AS b) AS c WHERE pass < 9 AND icd IN ({', '.join(map(q.text, ICD_ALLOWED))}) GROUP BY 1, 2"
+    return f"(SELECT doc_id, icd, pass, line, min(pass) OVER (PARTITION BY doc_id) AS best FROM ({kept}) AS d) AS icds"
+
+
+@both("detect_icd")
+def detect_icd(q, t):
+    return f"SELECT doc_id, icd, pass, line FROM {icd_codes(q, t)} WHERE pass = best"
+
+
+@both("icd_priority")
+def icd_priority(q, t):
+    weight = "CASE icd " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in ICD_WEIGHT.items()) + " ELSE 10 END"
+    return f"SELECT doc_id, icd, row_number() OVER (PARTITION BY doc_id ORDER BY {weight}, line, icd) AS place FROM {icd_codes(q, t)} WHERE pass = best"
+
+
+def carrier_hits(q, text: str, source: str) -> str:
+    found = f"SELECT doc_id, name, status, {text} AS body, pattern FROM {source} JOIN {q.values('carriers', 'name, status, pattern', CARRIERS)} ON {q.like_column(text, 'pattern')}"
+    token = "regexp_substr(body, pattern)" if q.name == "spark" else "regexp_extract(body, pattern)"
+    return f"(SELECT doc_id, name, status, {q.position('body', token)} AS spot FROM ({found}) AS f) AS carrier_hits"
+
+
+@both("detect_carrier")
+def detect_carrier(q, t):
+    """The carrier that is named first; of equal places the first by name."""
+    return f"SELECT doc_id, name AS carrier, status FROM (SELECT doc_id, name, status, row_number() OVER (PARTITION BY doc_id ORDER BY spot, name) AS place FROM {carrier_hits(q, 'text', t.intake)}) AS x WHERE place = 1"
+
+
+@both("carrier_policy")
+def carrier_policy(q, t):
+    """Contracts that ended are not accepted; those that end within 30 days expire, as of 2025-10-10."""
+    ends = q.values("ends", "carrier, days", [("Prominence", 21), ("Culinary", -40)])
+    return f"""SELECT doc_id, name AS carrier, CASE WHEN days < 0 THEN 'not_accepted' ELSE status END AS status, CASE WHEN days < 0 THEN 'insurance_contract_expired' WHEN days <= 30 THEN 'insurance_contract_expiring' END AS action FROM {carrier_hits(q, 'text', t.intake)} LEFT JOIN {ends} ON name = carrier"""
+
+
+def member_ids(q, t) -> str:
+    rules = [(r"(?i)\bmember\s*(?:id|#|number)?\s*[:#-]?\s*([A-Z0-9]{3,})\b", 4.5), (r"(?i)\b(?:subscriber|insured|policy)\s*(?:id|#|number)\s*[:#-]?\s*([A-Z0-9]{3,})\b", 3.5), (r"(?i)\bins(?:urance)?\s*(?:no\.?|#|id|number)?\s*[:#-]?\s*([A-Z0-9]{3,})\b", 8), (r"\b([A-Z]\d{8,10})\b", 5)]
+    parts = " UNION ALL ".join(f"SELECT doc_id, CAST({w} AS DOUBLE) AS weight, {i} AS rule, {q.explode(q.extract_all('text', p, 1))} AS raw FROM {t.intake} WHERE {q.like('text', p)}" for i, (p, w) in enumerate(rules))
+    return f"(SELECT doc_id, value, sum(weight) AS score, count(*) AS n, count(DISTINCT rule) AS n_rules FROM (SELECT doc_id, weight, rule, upper(raw) AS value FROM ({parts}) AS p) AS a WHERE length(value) >= 8 AND {q.like('value', '[0-9]')} GROUP BY 1, 2) AS member_ids"
+
+
+@both("member_id_candidates")
+def member_id_candidates(q, t):
+    return f"SELECT doc_id, value, score, n FROM {member_ids(q, t)}"
+
+
+@both("member_id_rank")
+def member_id_rank(q, t):
+    rank = f"score + CASE WHEN {T.likely_not_member_id(q, 'value')} THEN -40 ELSE 0 END + CASE WHEN {q.like('value', '[A-Z]')} THEN 8 ELSE 0 END + CASE WHEN length(value) BETWEEN 9 AND 12 THEN 5 ELSE 0 END - CASE WHEN n > 3 THEN 3 * (n - 3) ELSE 0 END"
+    return f"SELECT doc_id, value, total, place FROM (SELECT doc_id, value, {rank} AS total, row_number() OVER (PARTITION BY doc_id ORDER BY {rank} DESC, n DESC, length(value) DESC, value) AS place FROM {member_ids(q, t)}) AS x"
+
+
+@both("member_id_proximity")
+def member_id_proximity(q, t):
+    """Weight by the distance of an id-like token from the first insurance word of its text."""
+    token = r"\b[A-Z]\d{8,10}\b"
+    dist = f"abs({q.position('text', q.extract('text', token))} - {q.position('lower(text)', q.text('insurance'))})"
+    return f"""SELECT doc_id, token, CASE WHEN {q.position('lower(text)', q.text('insurance'))} = 0 THEN 1 ELSE greatest(1, 6 - CAST(floor(least({dist}, 800) / 120.0) AS INT)) END AS weight FROM (SELECT doc_id, text, {q.extract('text', token)} AS token FROM {t.intake}) AS a WHERE token IS NOT NULL"""
+
+
+@both("rule_engine_score")
+def rule_engine_score(q, t):
+    rules = q.values("rules", "carrier, pattern, score, low, high", [("Aetna", r"^W\d{9}$", 30, 10, 10), ("Medicare", r"^[0-9][A-Z][0-9A-Z][0-9].*", 28, 11, 11), ("any", r"^[A-Z]{3}\d{6,12}$", 15, 9, 15), ("any", r"^[A-Z]\d{8,10}$", 12, 9, 11)])
+    return f"SELECT doc_id, value, carrier, rules.score + CASE WHEN length(value) BETWEEN low AND high THEN 0 ELSE -20 END AS score FROM {member_ids(q, t)} JOIN {rules} ON {q.like_column('value', 'pattern')}"
+
+
+@both("group_id")
+def group_id(q, t):
+    p = r"(?i)\bgroup\s*(?:id|#|number)?\s*[:#-]?\s*([A-Z0-9]*[0-9][A-Z0-9]*)\b"
+    return f"SELECT doc_id, {q.extract('text', p, 1)} AS group_id FROM {t.intake} WHERE {q.like('text', p)}"
+
+
+@both("fused_split")
+def fused_split(q, t):
+    p = r"(?i)id:?\s*([A-Z0-9]+?)group:?\s*([A-Z0-9]+)"
+    return f"SELECT doc_id, {q.extract('v', p, 1)} AS member_id, {q.extract('v', p, 2)} AS group_id FROM (SELECT doc_id, concat('ID:A', CAST(abs(doc_id) AS {'STRING' if q.name == 'spark' else 'VARCHAR'}), 'Group:G7') AS v FROM {t.intake}) AS x"
+
+
+@both("detect_secondary_insurance")
+def detect_secondary_insurance(q, t):
+    """A second anchor line that names another carrier than the first anchor's block."""
+    anchors = f"SELECT doc_id, line, text, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM {t.lines} WHERE {q.like('text', INSURANCE_ANCHOR)}"
+    named = f"SELECT doc_id, i, line, text, name, status, row_number() OVER (PARTITION BY doc_id, i ORDER BY name) AS r FROM ({anchors}) AS a JOIN {q.values('carriers', 'name, status, pattern', CARRIERS)} ON {q.like_column('text', 'pattern')}"
+    one = f"SELECT * FROM ({named}) AS b WHERE r = 1"
+    score = f"CASE WHEN {q.like('s.text', r'(?i)member\s*id')} THEN 1 ELSE 0 END + CASE WHEN {q.like('s.text', r'(?i)other\s+insurance|secondary')} THEN 1.5 ELSE 0 END + CASE WHEN s.line - p.line > 1 THEN 0.25 ELSE 0 END"
+    return f"SELECT s.doc_id, p.name AS primary_carrier, s.name AS secondary_carrier, CAST({score} AS DOUBLE) AS score FROM ({one}) AS p JOIN ({one}) AS s ON p.doc_id = s.doc_id AND p.i = 1 AND s.i = 2 AND p.name <> s.name"
+
+
+@both("detect_dme")
+def detect_dme(q, t):
+    issues = ", ".join(f"{q.like('text', p)} AS {k}" for k, p in DME_ISSUES)
+    return f"SELECT doc_id, upper({q.extract('text', DME_VENDORS)}) AS vendor, {q.join(q.distinct(q.extract_all('text', DME_CODES)), ',')} AS codes, {issues} FROM {t.intake} WHERE {q.like('text', DME_VENDORS)} OR {q.like('text', DME_CODES)}"
+
+
+METRICS = {
+    "avg_hours": (r"(?i)(\d{1,2}(\.\d+)?)\s*(hrs?|hours?)\s*(per|/)?\s*night", 1), "ahi": (r"(?i)\bAHI\b[^0-9]{0,10}(\d{1,2}(\.\d+)?)", 1), "p90": (r"(?i)90%\s*pressure[^0-9]{0,10}(\d{1,2}(\.\d+)?)", 1),
+    "usage_percent": (r"(?i)(\d{2,3})%\s*(of\s*)?(nights|usage)", 1), "pressure_min": (r"(?i)(\d{1,2})\s*[-to]{1,3}\s*(\d{1,2})\s*cm", 1), "pressure_max": (r"(?i)(\d{1,2})\s*[-to]{1,3}\s*(\d{1,2})\s*cm", 2),
+}
+
+
+@both("compliance_metrics")
+def compliance_metrics(q, t):
+    columns = ", ".join(f"{q.to_double(q.extract('text', p, g))} AS {k}" for k, (p, g) in METRICS.items())
+    some = " OR ".join(q.like("text", p) for k, (p, _) in METRICS.items())
+    return f"SELECT doc_id, {columns} FROM {t.intake} WHERE {some}"
+
+
+@both("detect_provider")
+def detect_provider(q, t):
+    name = r"(?:Dr\.?\s*)?([A-Z][a-zA-Z'-]+(?:\s+[A-Z][a-zA-Z'-]+)+)"
+    tier = f"CASE WHEN {q.like('text', r'(?i)referring\s*(provider|physician)')} THEN 1 WHEN {q.like('text', r'(?i)ordering\s*(provider|physician)')} THEN 2 WHEN {q.like('text', r'(?i)\bprovider\b|\bdr\.?\b')} THEN 3 END"
+    after = q.replace("text", r"^[^:]*:\s*", "")
+    return f"""SELECT doc_id, name, credential FROM (SELECT doc_id, {q.replace(q.extract('body', name, 1), r'\s+(MD|DO|NP|PA|RN)$', '')} AS name, {q.extract('body', r'\b(MD|DO|NP|PA|RN)\b')} AS credential, row_number() OVER (PARTITION BY doc_id ORDER BY tier, line) AS place FROM (
+      SELECT doc_id, line, {after} AS body, {tier} AS tier FROM {t.lines}) AS a WHERE tier IS NOT NULL AND {q.like('body', name)}) AS b WHERE place = 1"""
+
+
+@both("provider_npi")
+def provider_npi(q, t):
+    p = r"(?i)\bnpi\b\s*[:#]?\s*(\d{10})\b"
+    return f"SELECT doc_id, {q.extract('text', p, 1)} AS npi FROM {t.intake} WHERE {q.like('text', p)}"
+
+
+@both("provider_practice")
+def provider_practice(q, t):
+    p = r"(?i)^(?:practice|clinic|facility)\s*[:-]\s*(.+)$"
+    return f"SELECT doc_id, practice FROM (SELECT doc_id, {q.extract('text', p, 1)} AS practice, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS place FROM {t.lines} WHERE {q.like('text', p)}) AS a WHERE place = 1"
+
+
+@both("provider_phone_fax")
+def provider_phone_fax(q, t):
+    """Numbers within four lines of a provider line; fax lines apart."""
+    anchors = f"SELECT DISTINCT doc_id, line FROM {t.lines} WHERE {T.is_provider(q, 'text')}"
+    numbers = f"SELECT doc_id, line, {q.replace(q.extract('text', PHONE), '[^0-9]', '')} AS digits, {T.is_fax(q, 'text')} AS fax FROM {t.lines} WHERE {q.like('text', PHONE)}"
+    return f"SELECT n.doc_id, min(CASE WHEN fax THEN digits END) AS fax, min(CASE WHEN NOT fax THEN digits END) AS phone FROM ({numbers}) AS n WHERE EXISTS (SELECT 1 FROM ({anchors}) AS a WHERE a.doc_id = n.doc_id AND a.line BETWEEN n.line - 4 AND n.line + 4) GROUP BY 1"
+
+
+@both("phone_reconcile")
+def phone_reconcile(q, t):
+    """Accepted numbers that no rejected line of the document also gives."""
+    return f"SELECT doc_id, digits FROM {phones(q, t)} WHERE reason IS NULL EXCEPT SELECT doc_id, digits FROM {phones(q, t)} WHERE reason IN ('fax', 'provider_context')"
+
+
+@both("detect_symptoms")
+def detect_symptoms(q, t):
+    kept = f"SELECT doc_id, line, text FROM {t.lines} WHERE NOT {q.like('text', SYMPTOM_SKIP)} AND NOT ({q.like('text', THIRD_PARTY)} AND NOT {q.like('text', r'(?i)(patient|pt)\b')})"
+    return f"""SELECT doc_id, label, line, CASE WHEN {q.like_column('text', 'negative')} THEN 'denied' ELSE 'confirmed' END AS status FROM ({kept}) AS a JOIN {q.values('vocab', 'label, positive, negative', SYMPTOMS)} ON {q.like_column('text', 'positive')} OR {q.like_column('text', 'negative')}"""
+
+
+@both("vitals")
+def vitals(q, t):
+    s, d = (q.to_int(q.extract("text", r"\b(\d{2,3})/(\d{2,3})\b", g)) for g in (1, 2))
+    return f"""SELECT doc_id, bmi, CASE WHEN sys BETWEEN 80 AND 220 AND dia BETWEEN 40 AND 140 THEN concat(sys, '/', dia) END AS bp, weight, height FROM (SELECT doc_id, {q.extract('text', r'(?i)BMI\s*:?\s*(\d{2}(\.\d)?)', 1)} AS bmi, {s} AS sys, {d} AS dia,
+      {q.extract('text', r'(?i)(?:weight|wt)\s*:?\s*(\d{2,3})\s*(?:lbs?|pounds?)', 1)} AS weight, {q.extract('text', r"(?i)(?:height|ht)\s*:?\s*(\d'\s*\d{1,2})", 1)} AS height FROM {t.intake}) AS a WHERE bmi IS NOT NULL OR sys IS NOT NULL OR weight IS NOT NULL OR height IS NOT NULL"""
+
+
+@both("info_alerts")
+def info_alerts(q, t):
+    tags = {"seizure": r"seizure|epilepsy", "cardiac_device": r"pacemaker|defibrillator|cardiac\s+device", "mobility": r"wheelchair|walker|limited\s+mobility|bedbound", "oxygen": r"oxygen|o2\s+dependent", "hearing_impaired": r"hearing\s+impaired|hard\s+of\s+hearing|deaf", "language_barrier": r"spanish\s+only|interpreter|translation\s+needed", "caretaker": r"caretaker|caregiver|guardian"}
+    columns = ", ".join(f"{q.like('lower(text)', p)} AS {k}" for k, p in tags.items())
+    ppe = f"CASE WHEN {q.like('lower(text)', r'isolation|airborne|droplet|ppe required|mask required')} THEN true WHEN {q.like('lower(text)', 'no ppe')} THEN false END"
+    return f"SELECT doc_id, {ppe} AS ppe_required, {columns} FROM {t.intake}"
+
+
+def dates(q, t) -> str:
+    d = r"(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})"
+    kinds = [("referral", r"(?i)refer(?:ral)?\s*(?:date)?\s*[:-]?\s*" + d), ("order", r"(?i)order(?:ed)?\s*(?:date)?\s*[:-]?\s*" + d), ("service", r"(?i)(?:service|svc)\s*(?:date)?\s*[:-]?\s*" + d), ("study", r"(?i)(?:study|appt|appointment)\s*(?:date|scheduled)?\s*[:-]?\s*" + d)]
+    labelled = " UNION ALL ".join(f"SELECT doc_id, line, '{k}' AS type, {q.extract('text', p, 1)} AS raw FROM {t.lines} WHERE {q.like('text', p)}" for k, p in kinds)
+    loose = f"SELECT doc_id, line, 'unknown' AS type, {q.explode(q.extract_all('text', r'\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b'))} AS raw FROM {t.lines}"
+    return f"(SELECT doc_id, line, type, raw, {T.iso_date(q, 'raw')} AS iso FROM ({labelled} UNION ALL {loose}) AS a) AS dates"
+
+
+@both("detect_dates")
+def detect_dates(q, t):
+    """Labelled dates, and others whose day no labelled one has, each type and day once."""
+    return f"""SELECT doc_id, type, iso, line, CASE WHEN type = 'unknown' THEN 'low' ELSE 'high' END AS confidence FROM (SELECT doc_id, type, iso, min(line) AS line, max(CASE WHEN type <> 'unknown' THEN 1 ELSE 0 END) AS x, max(max(CASE WHEN type <> 'unknown' THEN 1 ELSE 0 END)) OVER (PARTITION BY doc_id, iso) AS labelled
+      FROM {dates(q, t)} WHERE iso IS NOT NULL GROUP BY doc_id, type, iso) AS b WHERE type <> 'unknown' OR labelled = 0"""
+
+
+@both("promote_dates")
+def promote_dates(q, t):
+    pick = ", ".join(f"{q.first_by(f"CASE WHEN type = '{k}' THEN iso END", f"CASE WHEN type = '{k}' THEN line END")} AS {k}_date" for k in ("referral", "order", "study"))
+    return f"SELECT doc_id, {pick} FROM {dates(q, t)} WHERE iso IS NOT NULL AND type <> 'unknown' GROUP BY 1"
+
+
+@both("text_hints")
+def text_hints(q, t):
+    return f"""SELECT doc_id, {q.extract('text', r'(?i)\bnpi\b\D{0,5}(\d{10})', 1)} AS npi, {q.extract('text', r'\b(9580[56]|9581[01]|9578[23]|G0399)\b')} AS cpt, {q.extract('text', r'\b[A-TV-Z]\d{2}\.\d{1,4}\b')} AS icd, {q.size(q.extract_all('text', PHONE))} AS n_phones FROM {t.intake}"""
+
+
+@both("highlight_spans")
+def highlight_spans(q, t):
+    """Lines that hold the document's phone or birth date, three a field at most."""
+    values = f"SELECT doc_id, 'phone' AS field, substring(digits, 7, 4) AS v FROM {phones(q, t)} WHERE reason IS NULL UNION ALL SELECT doc_id, 'date', iso FROM {dates(q, t)} WHERE iso IS NOT NULL AND type <> 'unknown'"
+    return f"SELECT doc_id, field, line FROM (SELECT DISTINCT l.doc_id, field, l.line, dense_rank() OVER (PARTITION BY l.doc_id, field ORDER BY l.line) AS place FROM {t.lines.replace(' AS lines', ' AS l')} JOIN ({values}) AS v ON v.doc_id = l.doc_id AND {q.contains('l.text', 'v.v')}) AS x WHERE place <= 3"
