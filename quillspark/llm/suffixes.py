@@ -94,6 +94,8 @@ RUNS = "rid long, place int, first int, last int, key long, tee long"
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if not batch.num_rows:
+            continue
         columns: list[list] = [[] for _ in range(6)]
         for rid, text in zip(batch["rid"].to_pylist(), batch["text"].to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "replace")
