@@ -42,6 +42,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+#: A key of more than one in HOT rows is hot, so there are fewer than HOT hot keys.
+HOT = 1000
+
+
+def join_salted(rows: DataFrame, table: DataFrame, counts: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """rows joined with table, which has one row a key; a hot key's rows are dealt to many tasks.
+
+    counts has one row a key too, and in _n how many of the rows have it; it is read twice, so it should be a written table.
+    The hot keys, fewer than HOT by their definition, are broadcast and salt their rows by a hash of the columns spread;
+    their rows of table are repeated once a salt, fewer than 2 * HOT times in all.
+    """
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    share = max(1, total // HOT)
+    hot = counts.where(F.col("_n") * HOT > max(total, HOT)).select(*keys, F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
+    hot = F.broadcast(hot)
+    salt = lambda x: F.coalesce(x, F.lit(0)).cast("int")
+    left = rows.join(hot, keys, "left").withColumn("_salt", salt(F.pmod(F.xxhash64(*spread), F.col("_parts")))).drop("_parts")
+    right = table.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salt(F.col("_parts") - 1)))).drop("_parts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOCUMENT_COLUMNS, read, saved, words
+from .common import DOCUMENT_COLUMNS, join_salted, read, saved, words
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,14 +114,17 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """Rows with fp and an order column _o (struct or id; least wins): adds _least, the least _o of the row's component."""
-    distinct = rows.groupBy("fp").agg(F.min("_o").alias("_o"))
+    """Rows with fp and an order column _o (struct or id; least wins): adds _least, the least _o of the row's component.
+
+    A fingerprint of very many rows is salted where its rows meet their label.
+    """
+    distinct = saved(rows.groupBy("fp").agg(F.min("_o").alias("_o"), F.count(F.lit(1)).alias("_n")), "distinct")
     roots = components(links(distinct.select("fp")))
     linked = roots.join(distinct, F.col("node") == F.col("fp")).select("node", "root", "_o")
     least = linked.groupBy("root").agg(F.min("_o").alias("_least"))
     of = linked.join(least, "root").select(F.col("node").alias("fp"), "_least")
     labels = distinct.join(of, "fp", "left").select("fp", F.coalesce("_least", "_o").alias("_least"))
-    return rows.join(labels, "fp")
+    return join_salted(rows, labels, distinct.select("fp", "_n"), ["fp"], ["_o"])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
