@@ -14,11 +14,13 @@ is named by its anchor's hash (key) and by the digest of all bytes that its stri
    key, and put into the index family: each batch of suffixes is sorted, scanned by merging against all levels for equal
    LENGTH-byte prefixes, and levels of equal rank are merged, so a suffix is moved a logarithmic number of times. Suffixes
    are in order of a 64-bit fingerprint of the prefix, not of its bytes, as only equality of the whole prefix matters.
-4. Each document's removed intervals are united, and the rest is digested.
+4. A key of more than CONTEXTS_MAX tees (a passage shorter than LENGTH in very many surroundings) would be too much for a
+   task. Its suffixes are dealt by the fingerprint of their prefix instead, and counted with combination before the
+   shuffle, to the same result.
+5. Each document's removed intervals are united, and the rest is digested.
 
-Counts by key are combined before the shuffle and joins are left to the planner, which splits hot keys. Step 3 holds one
-key's distinct contexts in a task (about 600 bytes each, copies collapsed), and slices of SLICE distances of their
-fingerprints; this is the only place where a group meets in a task.
+Counts by key are combined before the shuffle, and joins salt hot keys. Step 3 holds at most CONTEXTS_MAX contexts of a
+key in a task (about 600 bytes each, copies collapsed), and slices of SLICE distances of their fingerprints.
 
 Null texts count as empty. Rows are told apart by a 64-bit hash of id and text, so repeated rows share their result and
 count as places of their own. Extra columns are left out.
@@ -34,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved
+from .common import join_salted, read, saved
 
 LENGTH, GRAM = 400, 32
 SPAN = LENGTH - GRAM + 1
 #: Bits of an anchor's place in a piece of a text, and the starts in a piece.
 PLACE, PIECE = 28, 1 << 22
 BATCH, SLICE = 4096, 48
+#: Contexts of one key that may meet in a task; some 60 MB with their fingerprints.
+CONTEXTS_MAX = 50_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 TABLE = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x2545F4914F6CDD1D
@@ -183,6 +187,32 @@ class Batch:
         return (prints ^ (prints >> np.uint64(31))) * MIX[2] + self.key[ids], (np.cumsum(self.n) - self.n)[ids] + local
 
 
+STARTS = "rid long, key long, whole boolean, a int, print long"
+
+
+def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every start of the contexts with the fingerprint of its LENGTH bytes, wherever it stands."""
+    back = np.uint64(pow(BASE, -1, 1 << 64))
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            texts = part["bytes"].to_pylist()
+            size = np.array([len(t) for t in texts], dtype=np.int64)
+            count = size - LENGTH + 1
+            owner = np.repeat(np.arange(len(size)), count)
+            local = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+            at = (np.cumsum(size) - size)[owner] + local
+            flat = np.frombuffer(b"".join(texts), np.uint8)
+            power, inverse = np.full(len(flat), BASE, np.uint64), np.full(len(flat), back, np.uint64)
+            power[0] = inverse[0] = 1
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(TABLE[flat] * np.cumprod(power))])
+            prints = (sums[at + LENGTH] - sums[at]) * np.cumprod(inverse)[at]
+            prints = ((prints ^ (prints >> np.uint64(31))) * MIX[2]).view(np.int64)
+            own = pa.array(owner)
+            a = np.asarray(part["first"])[owner] + local
+            yield pa.RecordBatch.from_arrays([part["rid"].take(own), part["key"].take(own), part["whole"].take(own), pa.array(a, pa.int32()), pa.array(prints, pa.int64())], names=["rid", "key", "whole", "a", "print"])
+
+
 INTERVALS = "rid long, a int, b int"
 
 
@@ -251,18 +281,33 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of each document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rid"))
     found = docs.select("rid", "text").mapInArrow(runs, RUNS)
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("tee") != F.max("tee")).alias("mixed")).where("n > 1").select("key", "mixed")
-    often = saved(found.join(keys, "key"), "runs")
+    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), (F.min("tee") != F.max("tee")).alias("mixed"))
+    keys = saved(keys.where("_n > 1"), "keys")
+    often = saved(join_salted(found, keys.select("key", "mixed"), keys.select("key", "_n"), ["key"], ["rid", "place"]), "runs")
     place = F.struct("rid", "place", "first", "last")
-    tees = often.groupBy("key", "tee").agg((F.count(F.lit(1)) > 1).alias("whole"), F.min(place).alias("at"), F.first("mixed").alias("mixed"))
-    tees = saved(tees.where(F.col("whole") | F.col("mixed")), "tees")
-    whole = often.join(tees.where("whole").select("key", "tee"), ["key", "tee"]).select("rid", F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b"))
-    wanted = tees.where("mixed").select("at.rid", F.struct("at.place", "at.first", "at.last", "key", "whole").alias("w")).groupBy("rid").agg(F.collect_list("w").alias("wanted"))
-    # Both joins read the documents dealt by rid; the planner makes that exchange once.
+    tees = often.groupBy("key", "tee").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("at"), F.first("mixed").alias("mixed"))
+    tees = saved(tees.withColumn("whole", F.col("_n") > 1).where(F.col("whole") | F.col("mixed")), "tees")
+    repeated = tees.where("whole").select("key", "tee", "_n")
+    whole = join_salted(often, repeated.drop("_n"), repeated, ["key", "tee"], ["rid", "place"]).select("rid", F.col("first").alias("a"), (F.col("last") + LENGTH).alias("b"))
+    mixed = tees.where("mixed")
+    # The joins read the documents dealt by rid; the planner makes that exchange once.
     dealt = docs.repartition("rid")
-    texts = dealt.join(wanted, "rid").select("doc_id", "rid", "text", "wanted").mapInArrow(contexts, CONTEXTS)
-    edges = texts.repartition("key").mapInArrow(index, INTERVALS)
-    spans = whole.unionByName(edges).groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+    def texts(of: DataFrame) -> DataFrame:
+        wanted = of.select("at.rid", F.struct("at.place", "at.first", "at.last", "key", "whole").alias("w")).groupBy("rid").agg(F.collect_list("w").alias("wanted"))
+        return dealt.join(wanted, "rid").select("doc_id", "rid", "text", "wanted").mapInArrow(contexts, CONTEXTS)
+
+    large = saved(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CONTEXTS_MAX).select("key"), "large")
+    if large.isEmpty():
+        edges = texts(mixed).repartition("key").mapInArrow(index, INTERVALS)
+    else:
+        edges = texts(mixed.join(large, "key", "left_anti")).repartition("key").mapInArrow(index, INTERVALS)
+        each = texts(mixed.join(large, "key", "left_semi")).mapInArrow(starts, STARTS)
+        again = saved(each.groupBy("key", "print").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "again")
+        met = join_salted(each.where("NOT whole"), again.drop("_n"), again, ["key", "print"], ["rid", "a"])
+        edges = edges.unionByName(met.select("rid", "a", (F.col("a") + LENGTH).alias("b")))
+    # A set, as repeated rows share a rid and bring the same intervals.
+    spans = whole.unionByName(edges).groupBy("rid").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return dealt.join(spans, "rid", "left").select("doc_id", "rid", "text", "spans").mapInArrow(kept, RESULT)
 
 

@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import cases
 
-from quillspark.llm import components, decontam, langid, pseudolm, queries, secrets, simhash, suffixes, toxicity
+from quillspark.llm import common, components, decontam, langid, pseudolm, queries, secrets, simhash, suffixes, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -178,12 +178,24 @@ def test_gradients_of_window_network():
     assert pseudolm.log_probabilities(w, of, share, tokens, lengths).mean() > before + 0.5
 
 
-def test_suffixes(spark, folder):
+@pytest.mark.parametrize("most", [1, 50_000])
+def test_suffixes(spark, folder, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "CONTEXTS_MAX", most)
     docs = cases.docs(folder)
     want = Counter((d["doc_id"], *x) for d, x in zip(docs, cases.deduplicated([d["text"] for d in docs]), strict=True))
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, "op8_suffixes", folder)) == want
 
 
+def test_salted_join_is_a_join(spark):
+    r = random.Random(6)
+    rows = [(0 if i % 3 else r.randrange(40), i) for i in range(3000)]
+    left = spark.createDataFrame(rows, "k int, i int")
+    table = spark.createDataFrame([(k, k * 7) for k in range(0, 40, 2)], "k int, v int")
+    counts = left.groupBy("k").count().withColumnRenamed("count", "_n")
+    got = Counter((x.k, x.i, x.v) for x in common.join_salted(left, table, counts, ["k"], ["i"]).collect())
+    assert got == Counter((k, i, k * 7) for k, i in rows if k % 2 == 0)
+
+
 def test_index_family():
     r = np.random.default_rng(4)
     prints = r.integers(0, 300, 900).astype(np.uint64)
