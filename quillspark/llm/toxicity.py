@@ -1,9 +1,11 @@
 """Operator 4: toxicity by maximum-scoring segments.
 
 Learning. From at most MAX_ROWS labelled rows of each class (those of the least id hash, never of the held-out fold), the
-share of documents with each token gives its log-odds between the classes under a Dirichlet prior that follows the
-tokens' overall shares; tokens whose log-odds are Z_MIN standard errors above 0 are kept, MAX_TOKENS at most. Tokens are
-lower-case words and their first 4, 5 and 6 letters, so unseen inflections of a stem count too.
+share of each token among the words gives its log-odds between the classes under a Dirichlet prior of PRIOR words that
+follows the tokens' overall shares; tokens of MIN_DOCS toxic documents whose log-odds are Z_MIN standard errors above 0 are
+kept, MAX_TOKENS at most. Tokens are lower-case words and their first 4, 5 and 6 letters, so unseen inflections of a stem
+count too. A word that stood among the last ECHO words already counts neither here nor when scoring, so a stuttered word
+is one piece of evidence.
 
 Scoring. Each word of the whole text scores its best token's log-odds, or -DRIFT. One linear scan finds all maximal
 segments (disjoint, none extendable). Their scores are calibrated by extreme-value statistics: lambda solves
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import held_out, read
 
 MAX_ROWS, MAX_TOKENS = 8_000, 100_000
-Z_MIN, PRIOR, DRIFT = 3.0, 20.0, 0.05
+Z_MIN, PRIOR, DRIFT, MIN_DOCS, ECHO = 3.0, 5_000.0, 0.05, 3, 50
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 CACHE = 200_000
@@ -86,7 +88,8 @@ def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, i
 def evidence(text: str | None, model: Model, cache: dict[str, float]) -> tuple[float, float, int, list[tuple[int, int, float]]]:
     """Best and summed log-evidence of a text, its number of words, and its segments by words."""
     words = WORD.findall((text or "").lower())
-    scored = []
+    scored: list[tuple[int, float]] = []
+    last: dict[str, int] = {}
     for i, w in enumerate(words):
         s = cache.get(w)
         if s is None:
@@ -95,7 +98,9 @@ def evidence(text: str | None, model: Model, cache: dict[str, float]) -> tuple[f
                 cache.clear()
             cache[w] = s
         if s:
-            scored.append((i, s))
+            if i - last.get(w, -ECHO - 1) > ECHO:
+                scored.append((i, s))
+            last[w] = i
     if not scored:
         return -5.0, 0.0, len(words), []
     found = segments(scored, DRIFT)
@@ -104,15 +109,37 @@ def evidence(text: str | None, model: Model, cache: dict[str, float]) -> tuple[f
     return max(-5.0, *each), math.log1p(sum(e for e in each if e > 0)), len(words), found
 
 
+def heard(text: str | None) -> list[str]:
+    """The words of a text but those that stood among the last ECHO words already."""
+    out, last = [], {}
+    for i, w in enumerate(WORD.findall((text or "").lower())):
+        if i - last.get(w, -ECHO - 1) > ECHO:
+            out.append(w)
+        last[w] = i
+    return out
+
+
+COUNTS = "token string, n0 long, n1 long, d1 long"
+
+
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each class that have a token."""
+    """Words of each class that have a token, and toxic documents; the null token counts all words."""
     for batch in batches:
-        seen = (Counter(), Counter())
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        documents: Counter = Counter()
         for text, y in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            words = set(WORD.findall((text or "").lower()))
-            seen[y].update({t for w in words for t in tokens(w)})
+            counts = Counter(heard(text))
+            seen[y][None] += sum(counts.values())
+            own: Counter = Counter()
+            for w, n in counts.items():
+                for t in tokens(w):
+                    own[t] += n
+            seen[y].update(own)
+            if y:
+                documents.update(own.keys())
         names = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[0][t] for t in names], pa.int64()), pa.array([seen[1][t] for t in names], pa.int64())], names=["token", "n0", "n1"])
+        columns = [pa.array(names, pa.string()), *[pa.array([c[t] for t in names], pa.int64()) for c in (*seen, documents)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["token", "n0", "n1", "d1"])
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
@@ -129,18 +156,18 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows, docs0, docs1 = sample(docs, labels)
     if not docs0 or not docs1:
         return Model()
-    counts = rows.mapInArrow(count_tokens, "token string, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    share = (F.col("n0") + F.col("n1") + 1) / (docs0 + docs1 + 2)
-    a1, b1 = F.col("n1") + PRIOR * share, docs1 - F.col("n1") + PRIOR * (1 - share)
-    a0, b0 = F.col("n0") + PRIOR * share, docs0 - F.col("n0") + PRIOR * (1 - share)
+    counts = rows.mapInArrow(count_tokens, COUNTS).groupBy("token").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "d1")])
+    whole = counts.where(F.col("token").isNull()).select(F.col("n0").alias("all0"), F.col("n1").alias("all1")).first()
+    words0, words1 = (max(1, whole.all0), max(1, whole.all1)) if whole else (1, 1)
+    share = (F.col("n0") + F.col("n1")) / (words0 + words1)
+    a1, b1 = F.col("n1") + PRIOR * share, words1 - F.col("n1") + PRIOR * (1 - share) + 1
+    a0, b0 = F.col("n0") + PRIOR * share, words0 - F.col("n0") + PRIOR * (1 - share) + 1
     odds = F.log(a1 / b1) - F.log(a0 / b0)
-    kept = counts.where(F.col("n1") > 1).withColumn("w", odds).withColumn("z", odds / F.sqrt(1 / a1 + 1 / a0)).where(F.col("z") >= Z_MIN)
+    kept = counts.where(F.col("token").isNotNull() & (F.col("d1") >= MIN_DOCS)).withColumn("w", odds).withColumn("z", odds / F.sqrt(1 / a1 + 1 / a0)).where(F.col("z") >= Z_MIN)
     top = kept.orderBy(F.col("z").desc(), "token").limit(MAX_TOKENS).collect()
     if not top:
         return Model()
     model = Model({r.token: float(r.w) for r in top})
-    found = rows.mapInArrow(measure(model), "a double, b double, n long, y int").toPandas()
-    words0 = max(1.0, float(found.loc[found.y == 0, "n"].sum()))
     p = np.array([(r.n0 + 0.5) / words0 for r in top if not r.token.endswith("~")] or [0.5 / words0])
     s = np.array([r.w for r in top if not r.token.endswith("~")] or [top[0].w])
     model.lam, model.log_k = extreme(p, s)
