@@ -5,7 +5,7 @@ from __future__ import annotations
 from .entry import REGISTRY, Query
 
 
-from . import q_decide, q_detect, q_joins, q_lines, q_reports, q_streams  # noqa: E402, F401
+from . import q_decide, q_detect, q_joins, q_lines, q_mining, q_reports, q_streams  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

@@ -21,6 +21,8 @@ TEXTS = [
     "Denies snoring. Patient reports gasping and insomnia. Restless legs confirmed. Father has sleep apnea.\nCPT 95806 home sleep test. G0399 mentioned. ICD: J45.909 I10",
     "2024-01-05 Intake; SSN 123-45-6789; contact a.b@clinic.org or 702.345.6789; ID A123456789",
     "Sunrise Smith, Bob_95811_20240102.pdf",
+    "Past encounters\nObstructive sleep apnea 12345678 G47.33\nHypertension 7654321 I10.0\nInsomnia G47.09 then G47.00, no evidence of asthma J45.909\nProblem list: high blood  pressure, obesity, denies diabetes\nProcedure 95810 for G47.10",
+    "Obstructve slep apnea wth snornig; Pateint reports 0xygen use and hypertensi0n\n{'carrier': 'Aetna', cpt: 95810,}\nlll|| ~~ xkcd ]] zz9q",
 ]
 SCHEMA = "doc_id long, page int, text string"
 
