@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOCUMENT_COLUMNS, join_salted, read, saved, words
+from . import neardup
+from .common import join_salted, read, saved, words
 from .components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -136,8 +137,5 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each component: its smallest doc_id; of repeated rows one."""
-    rows = saved(fingerprints(docs.select(*DOCUMENT_COLUMNS)).withColumn("_row", F.monotonically_increasing_id()), "near")
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    chosen = grouped(rows.select("fp", order.alias("_o"))).where(F.col("_o") == F.col("_least")).select(F.col("_o")["r"].alias("_row"))
-    return rows.join(chosen, "_row", "left_semi").select(*DOCUMENT_COLUMNS)
+    """The documents with one row of each near-duplicate component by 5-word shingles, not by op5's fingerprints."""
+    return neardup.keep_one(docs)

@@ -1,5 +1,6 @@
 """The pipeline's stages on hostile rows, against the operators' own verdicts and plain Python."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -61,3 +62,32 @@ def test_repeats_keep_one(spark):
     rows = [(None, "a b c d", "en", "s", 7), (None, "a b c d", "en", "s", 7), (4, "x y z q", "en", "s", 7), (4, "x y z q", "en", "s", 7)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == [("4", "x y z q"), ("None", "a b c d")]
+
+
+def test_near_dedup_finds_all_pairs_of_similar_shingles(spark):
+    r = random.Random(8)
+    rows, n = [], 0
+    for _ in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(40, 400))]
+        for _ in range(4):
+            w = list(base)
+            for at in r.sample(range(len(w)), r.randrange(1 + len(w) // 20)):
+                w[at] = f"v{r.randrange(10**6)}"
+            rows.append((n, " ".join(w), "en", "s", 7))
+            n += 1
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t, *_ in rows]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    fps = [cases.fingerprint(t) for _, t, *_ in rows]
+    assert any((fps[i] ^ fps[j]).bit_count() > 2 for i, j in pairs)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert sorted(k.doc_id for k in kept) == [i for i in range(n) if find(i) == i]
