@@ -11,7 +11,8 @@ many documents at once over the short essential postings. The units that pass in
 WAND: the largest impacts of a pivot's block over all terms of the window must reach THRESHOLD before the unit is scored,
 and every unit with a score of THRESHOLD or more is returned. A hit is verified: of both the question (all of the item but
 its last sentence; the first half if there is one sentence) and the answer (the rest), at least OVERLAP of the 3-word
-shingles must occur in the hit's surroundings.
+shingles must occur in the hit's surroundings, which are as many words on either side as the item has, or as the longest
+unit if that is more. An item of several units is verified over the surroundings of all windows that hold one of them.
 
 Items come to the driver in blocks of at most BLOCK_BYTES of text by hash, one pass over the documents for each, so the
 index in the tasks' code is bounded; document frequencies are those of the block. Documents are streamed in Arrow batches.
@@ -66,6 +67,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.items = [(i, *map(shingles, halves(t))) for i, t in items if words(t)]
+        self.sizes_of = [len(words(t)) for _, t in items if words(t)]
         units: list[tuple[int, list[bytes]]] = []
         for k, (_, t) in enumerate((i, t) for i, t in items if words(t)):
             w = words(t)
@@ -163,29 +165,45 @@ class Index:
             ids = np.fromiter(map(self.term.get, chain.from_iterable(tokens), repeat(0)), dtype=np.int64, count=size)
             lengths = np.array([len(w) for w in tokens], dtype=np.int64)
             begins = np.cumsum(lengths) - lengths
+            spread: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
             for k, window, units in self.pivots(ids, lengths):
-                self.verify(tokens[k], ids[begins[k] : begins[k] + lengths[k]], window, units, out[first + k])
+                self.verify(k, tokens[k], ids[begins[k] : begins[k] + lengths[k]], window, units, out[first + k], spread)
+            for (k, item), found in spread.items():
+                near = self.around(tokens[k], [window for window, _ in found], self.sizes_of[item])
+                self.count(item, near, max(score for _, score in found), len(found), out[first + k])
         return out
 
-    def verify(self, w: list[bytes], ids: np.ndarray, window: int, units: list[int], out: dict) -> None:
-        """Adds to out the items of the units that a window of a text holds."""
+    def verify(self, k: int, w: list[bytes], ids: np.ndarray, window: int, units: list[int], out: dict, spread: dict) -> None:
+        """Adds to out the items of the units that a window of text k holds; to spread those of several units, with window and score."""
         a, b = window * self.longest, (window + 2) * self.longest
         terms = np.unique(ids[a:b])
-        found = self.wand(terms[terms > 0].tolist(), units)
-        near = self.around(w, a, b) if found else set()
-        for unit, score in found:
+        near = None
+        for unit, score in self.wand(terms[terms > 0].tolist(), units):
             item = self.owner[unit]
-            _, question, answer = self.items[item]
-            q, r = len(question & near) / max(1, len(question)), len(answer & near) / max(1, len(answer))
-            if q >= OVERLAP and (r >= OVERLAP or not answer):
-                old = out.get(item, (0.0, 0.0, 0.0, 0))
-                out[item] = (max(old[0], score), max(old[1], q), max(old[2], r), old[3] + 1)
-
-    def around(self, w: list[bytes], a: int, b: int) -> set[tuple[bytes, ...]]:
-        """Shingles of a window and of as many words on either side as the longest unit has; pairs and words too, for short items."""
-        part = w[max(0, a - self.longest) : b + self.longest]
-        near = {tuple(part[i : i + 3]) for i in range(len(part) - 2)}
-        return near | {tuple(part[i : i + 2]) for i in range(len(part) - 1)} | {(x,) for x in part}
+            if self.sizes_of[item] > self.longest:
+                spread[k, item].append((window, score))
+                continue
+            near = self.around(w, [window], self.longest) if near is None else near
+            self.count(item, near, score, 1, out)
+
+    def count(self, item: int, near: set, score: float, n: int, out: dict) -> None:
+        """Adds an item to out if its question and its answer are near."""
+        _, question, answer = self.items[item]
+        q, r = len(question & near) / max(1, len(question)), len(answer & near) / max(1, len(answer))
+        if q >= OVERLAP and (r >= OVERLAP or not answer):
+            old = out.get(item, (0.0, 0.0, 0.0, 0))
+            out[item] = (max(old[0], score), max(old[1], q), max(old[2], r), old[3] + n)
+
+    def around(self, w: list[bytes], windows: list[int], margin: int) -> set[tuple[bytes, ...]]:
+        """Shingles of windows and of margin words or the longest unit's on either side; pairs and words too, for short items."""
+        margin, near, end = max(margin, self.longest), set(), 0
+        for window in sorted(windows):
+            b = (window + 2) * self.longest + margin
+            # What an earlier window has covered is left out, but for the two words that a shingle may begin with.
+            part = w[max(0, window * self.longest - margin, end - 2) : b]
+            near.update(tuple(part[i : i + n]) for n in (1, 2, 3) for i in range(len(part) - n + 1))
+            end = b
+        return near
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:

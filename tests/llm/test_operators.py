@@ -74,6 +74,20 @@ def test_wand_is_whole():
             assert full == {u for u, _ in index.wand(sorted(terms), sorted(passed.get(k, ())))}
 
 
+def test_long_items_are_verified_whole():
+    r = random.Random(9)
+    item = " ".join(f"q{r.randrange(10**6)}" for _ in range(1450)) + ". " + " ".join(f"a{r.randrange(10**6)}" for _ in range(50)) + "."
+    other = [(1, cases.words(30, r))]
+    filler = lambda: cases.words(700, r)
+    w = item.split()
+    parted = " ".join(w[:700] + filler().split() * 3 + w[700:])
+    first_tenth = " ".join(w[:150])
+    index = decontam.Index([(0, item), *other])
+    texts = [item, filler() + " " + item + " " + filler(), parted, first_tenth + " " + filler(), filler(), None]
+    assert [0 in found for found in index.hits(texts)] == [True, True, True, False, False, False]
+    assert index.hits([item])[0][0][1:3] == (1.0, 1.0)
+
+
 def test_toxicity(spark, folder):
     rows = run(spark, "op4_toxicity", folder)
     assert len(rows) == len(cases.docs(folder)) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
