@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 SIMILAR, MAX_STRINGS = 0.85, 4096
 
 
-def similarity(a: Column, b: Column) -> Column:
+def is_similar(a: Column, b: Column) -> Column:
+    """Whether an edit distance in lower case over the longer length leaves SIMILAR; lengths that rule it out go uncompared."""
     longer = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when(longer == 0, 1.0).otherwise(1 - F.levenshtein(F.lower(a), F.lower(b)) / longer)
+    share = lambda d: 1 - d / longer
+    gap = F.abs(F.char_length(F.lower(a)) - F.char_length(F.lower(b)))
+    return F.when(longer == 0, True).when(share(gap) < SIMILAR, False).otherwise(share(F.levenshtein(F.lower(a), F.lower(b))) >= SIMILAR)
 
 
 def without_near_duplicates(lines: Column) -> Column:
@@ -25,16 +28,16 @@ def without_near_duplicates(lines: Column) -> Column:
     clean = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[\s;:)(.,-]+", ""), r"\s+", " "))), lambda x: (x != "") & ~F.lower(x).rlike(r"^page \d+ of \d+$"))
 
     def step(kept: Column, x: Column) -> Column:
-        close = lambda k: similarity(k, x) >= SIMILAR
+        close = lambda k: is_similar(k, x)
         longer = F.transform(kept, lambda k: F.when(close(k) & (F.char_length(x) > F.char_length(k)), x).otherwise(k))
         return F.when(F.exists(kept, close), longer).otherwise(F.array_append(kept, x))
 
     return F.aggregate(clean, F.array().cast("array<string>"), step)
 
 
-def near_dup_lines(docs: DataFrame, text: str = "text", first: int = 200) -> DataFrame:
-    """doc_id and its lines without near-duplicates. A document's first lines are scanned, as the rules do."""
-    return docs.select("doc_id", without_near_duplicates(F.slice(F.split(F.col(text), "\n"), 1, first)).alias("lines"))
+def near_dup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id and its lines without near-duplicates, over all lines of the document."""
+    return docs.select("doc_id", without_near_duplicates(F.split(F.col(text), "\n")).alias("lines"))
 
 
 def distance(a: str, b: str) -> int | None:

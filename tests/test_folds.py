@@ -16,6 +16,14 @@ def test_near_dup_lines(spark):
     assert by[2] == [] and by[3] is None
 
 
+def test_near_dup_lines_of_a_long_text(spark):
+    r = random.Random(7)
+    lines = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20)) for _ in range(260)]
+    text = "\n".join([*lines, lines[250].upper(), lines[3] + "x"])
+    got = folds.near_dup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["lines"]
+    assert got == [*lines[:3], lines[3] + "x", *lines[4:]]
+
+
 def test_member_ids_merge(spark):
     rows = [(1, "W123456789", 9.0, 2), (1, "W12345678O", 4.5, 1), (1, "ZZ99998888", 3.0, 1), (2, "ABC1234567", 1.0, 1)]
     got = {(r.doc_id, r.value): (r.score, r.n, r.members) for r in folds.merge_member_ids(spark.createDataFrame(rows, "doc_id long, value string, score double, n long")).collect()}
