@@ -7,8 +7,9 @@ given both its sides, sum to its pseudo-log-likelihood.
 
 Everything that the model knows is gathered from the whole corpus. Token counts are summed over all documents; the most
 frequent hashes are classes of their own, the others share classes of about equal mass. Training is local gradient
-descent: each task masks one token in MASK of all its documents, by a hash of place and text, and starts from the common
-weights; the tasks' weights are averaged by their numbers of masked tokens. ROUNDS rounds are run. What tasks send is
+descent: each task masks its share of the tokens of all its documents, by a hash of place and text, and starts from the
+common weights; the tasks' weights are averaged by their numbers of masked tokens. ROUNDS rounds are run, and each token is
+masked in just one of them, so all are learnt from once. What tasks send is
 sums and weights, so it grows with the number of tasks, and nothing of size that grows with the corpus reaches the driver:
 it gets 2**16 counts and one set of weights.
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 BUCKETS, CONTEXTS, CLASSES, OWN = 1 << 16, 1 << 10, 64, 40
-REACH, HIDDEN, MASK, ROUNDS = 2, 12, 8, 2
+REACH, HIDDEN, ROUNDS = 2, 12, 2
 BATCH, RATE, SEED, CHUNK = 1024, 0.5, 11, 1 << 14
 OFFSETS = tuple(k for k in range(-REACH, REACH + 1) if k)
 SHAPES = {"t": (len(OFFSETS), CONTEXTS + 1, HIDDEN), "h": (HIDDEN,), "w": (HIDDEN, CLASSES), "b": (CLASSES,)}
@@ -106,10 +107,17 @@ def descend(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> None:
     w["h"] -= RATE * dh.sum(axis=0)
     for j in range(len(OFFSETS)):
         # A vector is seen by few places of a batch, so its step isn't divided among all.
-        np.add.at(w["t"][j], x[:, j], -RATE * np.sqrt(len(y)) * dh)
+        at = (x[:, j, None] * HIDDEN + np.arange(HIDDEN)).ravel()
+        w["t"][j] -= np.bincount(at, (RATE * np.sqrt(len(y)) * dh).ravel(), (CONTEXTS + 1) * HIDDEN).reshape(CONTEXTS + 1, HIDDEN)
 
 
-def trainer(w0: dict[str, np.ndarray], of: np.ndarray, salt: int):
+def targets(tokens: np.ndarray, lengths: np.ndarray, turn: int) -> np.ndarray:
+    """The places that are masked in a round; the rounds share all places out."""
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.nonzero(((tokens * 2654435761 + place * 40503) >> 7) % ROUNDS == turn)[0]
+
+
+def trainer(w0: dict[str, np.ndarray], of: np.ndarray, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, n = {k: v.copy() for k, v in w0.items()}, 0
         for batch in batches:
@@ -117,8 +125,7 @@ def trainer(w0: dict[str, np.ndarray], of: np.ndarray, salt: int):
             if not len(tokens):
                 continue
             x = contexts(tokens, lengths)
-            place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            masked = np.nonzero(((tokens * 2654435761 + place * 40503 + salt) >> 7) % MASK == 0)[0]
+            masked = targets(tokens, lengths, turn)
             for i in range(0, len(masked), BATCH):
                 part = masked[i : i + BATCH]
                 descend(w, x[part], of[tokens[part]])
@@ -139,8 +146,8 @@ def learn(docs: DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarra
         counts[r["i"]] = r["n"]
     of, share = classes(counts)
     w = start(counts, of)
-    for salt in range(ROUNDS):
-        summed = texts.mapInArrow(trainer(w, of, salt), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    for turn in range(ROUNDS):
+        summed = texts.mapInArrow(trainer(w, of, turn), "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
         if len(summed):
             flat = summed.sort_values("i")["v"].to_numpy()
             at = 1

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -192,6 +193,24 @@ def test_gradients_of_window_network():
     assert pseudolm.log_probabilities(w, of, share, tokens, lengths).mean() > before + 0.5
 
 
+def test_every_token_is_learnt_from_once():
+    r = np.random.default_rng(3)
+    tokens, lengths = r.integers(0, pseudolm.BUCKETS, 5000), np.array([0, 1, 1999, 3000])
+    places = np.concatenate([pseudolm.targets(tokens, lengths, turn) for turn in range(pseudolm.ROUNDS)])
+    assert sorted(places.tolist()) == list(range(5000))
+
+
+def test_every_token_reaches_the_trainer(monkeypatch):
+    batch = pa.record_batch({"text": [None, "", " ".join(f"w{i % 97}" for i in range(3000)), "one two three"]})
+    seen = []
+    monkeypatch.setattr(pseudolm, "descend", lambda w, x, y: seen.append(len(y)))
+    counts = np.ones(pseudolm.BUCKETS, np.int64)
+    of, _ = pseudolm.classes(counts)
+    for turn in range(pseudolm.ROUNDS):
+        list(pseudolm.trainer(pseudolm.start(counts, of), of, turn)([batch]))
+    assert sum(seen) == 3003
+
+
 @pytest.mark.parametrize("most", [1, 50_000])
 def test_suffixes(spark, folder, monkeypatch, most):
     monkeypatch.setattr(suffixes, "CONTEXTS_MAX", most)
