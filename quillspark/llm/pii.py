@@ -7,7 +7,8 @@ functions: no shuffle, no Python, nothing that grows with the table.
 Base kinds (email, ip, card, phone) are reported whenever their validator accepts them, whatever their score. The method
 adds iban (mod 97) and ssn (three-two-four digits), the latter only where a word near by lifts its score to REPORT.
 
-Null texts count as empty and have no spans. Repeated rows each get the same result. Extra columns are left out.
+Null texts count as empty and have no spans. Repeated rows each get the same result. Extra columns are left out. An empty
+table gives an empty result; long texts and any number of matches are taken whole, in time nearly linear in both.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, read
-from .spans import digest, find, joined
+from .common import DOCUMENT_COLUMNS, let, read
+from .spans import between, digest, find, fold, joined
 
 KINDS = ("email", "ip", "card", "phone")
 #: Java patterns. A start inside a run that its first start could not use fails as well, so it is not tried again.
@@ -74,10 +75,11 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def score(text: Column, kind: str, span: Column) -> Column:
-    """A span's score from 0 to 1: its kind's start, moved by the words around it."""
-    before = F.substring(text, F.greatest(F.lit(1), span["start"] - CONTEXT + 1).cast("int"), F.least(F.lit(CONTEXT), span["start"]).cast("int"))
-    after = F.substring(text, (span["end"] + 1).cast("int"), F.lit(CONTEXT))
+def score(data: Column, kind: str, span: Column) -> Column:
+    """A span's score from 0 to 1: its kind's start, moved by the words around it. data: the text's bytes."""
+    wide = 4 * CONTEXT  # bytes that hold as many code points at least
+    before = F.substring(between(data, F.greatest(span["first"] - wide, F.lit(0)), span["first"]), -CONTEXT, CONTEXT)
+    after = F.substring(between(data, span["last"], span["last"] + wide), 1, CONTEXT)
     around = F.lower(F.concat(before, F.lit(" \n "), after))
     up = F.regexp_like(around, F.lit(NEAR[kind])).cast("int")
     down = F.regexp_like(around, F.lit(AGAINST)).cast("int")
@@ -85,9 +87,10 @@ def score(text: Column, kind: str, span: Column) -> Column:
 
 
 def detect_kind(text: Column, kind: str) -> Column:
-    """Spans of one kind, as struct<kind,start,end,match,score>."""
+    """Spans of one kind with their score."""
     spans = F.filter(find(text, PATTERNS[kind], kind), lambda s: F.coalesce(valid(kind, s["match"]), F.lit(False)))
-    return F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "match")], score(text, kind, s).alias("score")))
+    fields = ("kind", "start", "end", "match", "first", "last")
+    return let(text.cast("binary"), lambda data: F.transform(spans, lambda s: F.struct(*[s[c].alias(c) for c in fields], score(data, kind, s).alias("score"))))
 
 
 def detect(text: Column) -> Column:
@@ -104,19 +107,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def masked(text: Column, found: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; of spans that overlap, the first in the text, then the longest."""
-    order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fits = s["start"] >= acc["at"]
-        return F.struct(
-            F.when(fits, -s["less"]).otherwise(acc["at"]).cast("long").alias("at"),
-            F.when(fits, F.concat(acc["out"], between, F.lit("<"), s["kind"], F.lit(">"))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    order = F.array_sort(F.transform(found, lambda s: F.struct(s["first"].alias("first"), (-s["last"]).alias("less"), s["kind"].alias("kind"))))
+
+    def cut(data: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            fits = s["first"] >= acc["at"]
+            piece = F.concat(between(data, acc["at"], s["first"]), F.lit("<"), s["kind"], F.lit(">"))
+            return F.struct(F.when(fits, -s["less"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+        none = F.array().cast("array<string>")
+        done = let(order, lambda rows: fold(rows, F.lit(0).cast("long"), none, step))
+        return let(done, lambda d: F.concat(F.array_join(d["out"], ""), between(data, d["at"], F.octet_length(text))))
+
+    return F.when(F.size(found) > 0, let(text.cast("binary"), cut)).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:

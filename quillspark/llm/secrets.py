@@ -1,7 +1,8 @@
 """Operator 6: secret scans that link the parts of a credential.
 
 Base kinds (assign, access, hex) are reported as they stand. Weak candidates are too common to report alone: an
-identifier-like token (wid), a high-variety token (wsecret) and an endpoint (url). They are reported only where
+identifier-like token (wid: 16 or more capitals and digits, of both), a high-variety token (wsecret: 20 or more characters
+with small letters, capitals and digits) and an endpoint (url), of any length. They are reported only where
 complementary parts meet within SCOPE code points: an identifier next to a secret, a secret next to an identifier or an
 endpoint, an endpoint next to both. Base spans count as parts: access as identifier, assign and hex as secrets.
 
@@ -10,7 +11,8 @@ pairs: one sort by document and position gives the nearest earlier ends, one the
 with many parts costs n log n and no list of pairs exists. A document is the unit of work; its parts meet in one task.
 
 Null texts count as empty. Repeated rows and null ids each keep their own result, as rows are told apart by their place
-in the input. Extra columns are left out. Spans of equal start are ordered as the kinds are listed.
+in the input. Extra columns are left out. An empty table gives an empty result; long texts and any number of matches are
+taken whole. Spans of equal start are ordered as the kinds are listed.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read
-from .spans import SPAN, digest, find, joined
+from .spans import digest, find, joined
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "wid", "wsecret", "url")
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
-WEAK_ID = r"(?<![A-Za-z0-9])(?=[0-9]{0,19}[A-Z])(?=[A-Z]{0,19}[0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Z0-9+/_-]{0,40}[a-z])(?=[a-z0-9+/_-]{0,40}[A-Z])(?=[A-Za-z+/_-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,88}={0,2}(?![A-Za-z0-9+/_=-])"
-URL = r"(?i)\b(?:https?|jdbc:[a-z0-9]{2,20}|amqps?|postgres(?:ql)?|mysql|mongodb|redis|s3)://[^\x20\x09-\x0D\"'<>]{3,2000}"
+WEAK_ID = r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Z])(?=[A-Z]*+[0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])"
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_=-])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+=*+(?![A-Za-z0-9+/_=-])"
+URL = r"(?i)\b(?:https?|jdbc:[a-z0-9]++|amqps?|postgres(?:ql)?|mysql|mongodb|redis|s3)://[^\x20\x09-\x0D\"'<>]{3,}+"
 #: The class of each kind, and the code points between two parts of one credential at most.
 CLASS = {"assign": "secret", "hex": "secret", "wsecret": "secret", "access": "id", "wid": "id", "url": "endpoint"}
 CLASSES = ("id", "secret", "endpoint")
@@ -77,7 +79,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = found.select("doc_id", "_row", F.explode_outer("_parts").alias("p")).select("doc_id", "_row", "p.kind", "p.start", "p.end", "p.match")
     span = F.when(F.col("reported"), F.struct("start", order_of(F.col("kind")).alias("o"), "kind", "end", "match"))
     out = linked(rows).groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("_s"))
-    return out.select("doc_id", F.transform("_s", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"))).cast(f"array<{SPAN}>").alias("found"))
+    return out.select("doc_id", F.transform("_s", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "match")])).alias("found"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
