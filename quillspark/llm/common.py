@@ -64,9 +64,11 @@ def join_salted(rows: DataFrame, table: DataFrame, counts: DataFrame, keys: list
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset a local master gets one of its own; a cluster gets an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
         shared = "/tmp/quillspark-checkpoints"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared)

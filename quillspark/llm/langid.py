@@ -6,9 +6,10 @@ through time (Adam, fixed seed) on the driver, on slices of at most ROWS documen
 drawn by id hash. Gates are clipped linear functions, so scoring is a few numpy operations a step over thousands of
 windows at once. The weights are some thousand numbers in the tasks' code; texts stream through in Arrow batches.
 
-Languages are the non-null values of lang in the learning rows, at most LANGUAGES, the most frequent first. Null texts and
-texts without a letter are und with score 0, as is everything if there is nothing to learn from. Repeated rows agree; a
-null id is never held out.
+Languages are all non-null values of lang in the learning rows. The learning sample is bounded: ALL_ROWS rows in equal shares
+for the languages, but no more than ROWS and no fewer than 8 of each. Null texts and texts without a letter are und with
+score 0, as is everything if there is nothing to learn from. Repeated rows agree; a null id is never held out. An empty table
+gives an empty result; long texts are read whole, in windows. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import held_out, read
 
 HIDDEN, STEPS, SEED = 8, 64, 7
-ROWS, SLICES, LANGUAGES = 400, 8, 64
+#: Learning rows of a language at most, and of all languages together; a language has 8 at least.
+ROWS, ALL_ROWS, SLICES = 400, 25_600, 8
 EPOCHS, BATCH, RATE = 6, 256, 0.02
 #: Windows scored at once.
 WINDOWS = 2048
@@ -141,21 +143,25 @@ def fit(slices: list[bytes], labels: np.ndarray, n_out: int) -> Network:
 def learn(docs: DataFrame) -> tuple[list[str], Network | None]:
     """The languages and a network of the documents outside the held-out fold."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return [], None
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * ROWS / r["count"]))])
+    most = min(ROWS, max(8, ALL_ROWS // len(langs)))
+    share = rows.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * most + 32) / r["count"])) for r in counts], "lang string, _share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003))
     at = lambda i: 1 + F.pmod(F.xxhash64("doc_id", i), F.greatest(F.char_length("text") - STEPS, F.lit(1)))
     cut = F.transform(F.sequence(F.lit(1), F.lit(SLICES)), lambda i: F.substring(F.col("text"), at(i).cast("int"), F.lit(STEPS)))
-    few = rows.withColumn("_draw", draw).where(F.col("_draw") < share[F.col("lang")] * 1_000_003).select("lang", "_draw", "doc_id", cut.alias("slices")).collect()
+    few = rows.join(share, "lang").withColumn("_draw", draw).where(F.col("_draw") < F.col("_share") * 1_000_003).select("lang", "_draw", "doc_id", cut.alias("slices")).collect()
     slices, labels = [], []
+    by_lang: dict[str, list] = {x: [] for x in langs}
+    for r in few:
+        by_lang[r["lang"]].append(r)
     for k, lang in enumerate(langs):
-        own = sorted((r for r in few if r["lang"] == lang), key=lambda r: (r["_draw"], r["doc_id"] or 0))[:ROWS]
+        own = sorted(by_lang[lang], key=lambda r: (r["_draw"], r["doc_id"] or 0, r["slices"]))[:most]
         # Languages with few documents are repeated, so all weigh alike.
         part = [s.encode("utf-8", "replace")[:STEPS] for r in own for s in r["slices"] if s]
-        part = (part * (1 + ROWS * SLICES // max(1, len(part))))[: ROWS * SLICES]
+        part = (part * (1 + most * SLICES // max(1, len(part))))[: most * SLICES]
         slices += part
         labels += [k] * len(part)
     return langs, fit(slices, np.array(labels), len(langs))

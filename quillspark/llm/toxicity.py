@@ -3,7 +3,7 @@
 Learning. From at most MAX_ROWS labelled rows of each class (those of the least id hash, never of the held-out fold), the
 share of each token among the words gives its log-odds between the classes under a Dirichlet prior of PRIOR words that
 follows the tokens' overall shares; tokens of MIN_DOCS toxic documents whose log-odds are Z_MIN standard errors above 0 are
-kept, MAX_TOKENS at most. Tokens are lower-case words and their first 4, 5 and 6 letters, so unseen inflections of a stem
+kept. Tokens are lower-case words and their first 4, 5 and 6 letters, so unseen inflections of a stem
 count too. A word that stood among the last ECHO words already counts neither here nor when scoring, so a stuttered word
 is one piece of evidence.
 
@@ -13,12 +13,13 @@ sum p * exp(lambda * s) = 1 over the non-toxic distribution, and a segment of sc
 lambda * S - log(K * n). A logistic fit on the learning rows turns the best and the summed evidence of a document into a
 probability. The scan looks at scoring words only, so its cost is that of reading the text.
 
-The model is broadcast in the tasks' code; its size is bounded by MAX_TOKENS. Texts are streamed in Arrow batches; no
+The model is sent in the tasks' code; its size is bounded by the words of the MAX_ROWS toxic learning rows. Texts are streamed in Arrow batches; no
 state is kept between rows.
 
 Null and empty texts have no segment and get the calibrated score of that. Labels that are null, neither 0 nor 1, or of
 unknown documents are left out; of several labels of a document the largest counts. Without labels of both classes all
-scores are 0. Repeated rows score alike; a null id is never held out.
+scores are 0. Repeated rows score alike; a null id is never held out. An empty table gives an empty result; long texts are
+scanned whole. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, read
 
-MAX_ROWS, MAX_TOKENS = 8_000, 100_000
+MAX_ROWS = 8_000
 Z_MIN, PRIOR, DRIFT, MIN_DOCS, ECHO = 3.0, 5_000.0, 0.05, 3, 50
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -164,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     a0, b0 = F.col("n0") + PRIOR * share, words0 - F.col("n0") + PRIOR * (1 - share) + 1
     odds = F.log(a1 / b1) - F.log(a0 / b0)
     kept = counts.where(F.col("token").isNotNull() & (F.col("d1") >= MIN_DOCS)).withColumn("w", odds).withColumn("z", odds / F.sqrt(1 / a1 + 1 / a0)).where(F.col("z") >= Z_MIN)
-    top = kept.orderBy(F.col("z").desc(), "token").limit(MAX_TOKENS).collect()
+    top = kept.orderBy(F.col("z").desc(), "token").collect()
     if not top:
         return Model()
     model = Model({r.token: float(r.w) for r in top})
