@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import cases
 
 import corpus_pipeline
-from quillspark.llm import decontam, mixing, pii, quality, simhash
+from quillspark.llm import decontam, mixing, neardup, pii, quality, simhash
 from quillspark.llm.common import DOCUMENT_COLUMNS, read
 
 
@@ -91,3 +91,36 @@ def test_near_dedup_finds_all_pairs_of_similar_shingles(spark):
     assert any((fps[i] ^ fps[j]).bit_count() > 2 for i, j in pairs)
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
     assert sorted(k.doc_id for k in kept) == [i for i in range(n) if find(i) == i]
+
+
+@pytest.mark.parametrize("block, names", [(1024, 10**6), (3, 0), (7, 10**6)])
+def test_near_dedup_in_blocks(spark, monkeypatch, block, names):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "LISTED", names)
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for n in range(80):
+        w = list(base)
+        for at in r.sample(range(100), n % 4):
+            w[at] = f"v{r.randrange(10**6)}"
+        rows.append((n, " ".join(w), None if n % 9 else "en", "s", 7))
+    rows += [rows[5], rows[7], (None, None, None, None, None), (None, "", "s", None, None), (None, "", None, "s", None), (90, "x y", "en", "s", 3)]
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(len((t or "").split()) - 4)} for _, t, *_ in rows]
+    group = {0}
+    while True:
+        more = {j for j in range(80) if any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in group)}
+        if more <= group:
+            break
+        group |= more
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    want = sorted([0, 90, *(n for n in range(80) if n not in group)])
+    assert sorted(k.doc_id for k in kept if k.doc_id is not None) == want
+    assert sum(k.doc_id is None for k in kept) == 1
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_empty_stage(spark, tmp_path, k):
+    name = cases.write(tmp_path, 0)
+    out = corpus_pipeline.STAGES[k][1](spark, read(spark, name, "documents"), name)
+    assert out.collect() == [] and set(DOCUMENT_COLUMNS) <= set(out.columns)
