@@ -38,8 +38,8 @@ FREQUENT, CONTEXTS, CLASSES, OWN = 1 << 16, 1 << 10, 64, 40
 REACH, HIDDEN, ROUNDS = 2, 12, 2
 BATCH, RATE, SEED, CHUNK = 1024, 0.5, 11, 1 << 14
 SHARD_BYTES = 12 << 20
-#: Tokens that a task counts at once.
-COUNTED = 1 << 22
+#: Tokens that a task counts at once, and those that it trains on or scores at once, or one text if that has more.
+COUNTED, PIECE = 1 << 21, 1 << 17
 OFFSETS = tuple(k for k in range(-REACH, REACH + 1) if k)
 SHAPES = {"t": (len(OFFSETS), CONTEXTS + 1, HIDDEN), "h": (HIDDEN,), "w": (HIDDEN, CLASSES), "b": (CLASSES,)}
 SHARED = CLASSES - OWN
@@ -58,6 +58,15 @@ def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["o"], n, pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "o", "n_tokens", "tokens"])
 
 
+def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about PIECE tokens."""
+    of = np.cumsum(np.asarray(batch["n_tokens"], dtype=np.int64)) // PIECE
+    edges = [0, *(np.nonzero(np.diff(of))[0] + 1).tolist(), len(of)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of a batch one after the other, and how many each row has."""
     flat = np.frombuffer(b"".join(batch["tokens"].to_pylist()), np.uint32).astype(np.int64)
@@ -85,7 +94,7 @@ def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(n, pa.int64())], names=["token", "n"])
 
-    for batch in batches:
+    for batch in (part for batch in batches for part in pieces(batch)):
         held.append(tokens_of(batch)[0])
         if sum(map(len, held)) >= COUNTED:
             yield counted()
@@ -177,7 +186,7 @@ def trainer(model: Model, turn: int):
                 summed.__iadd__(np.concatenate([w[k].ravel() for k in SHAPES]) * n)
                 total += n
 
-        for batch in batches:
+        for batch in (part for batch in batches for part in pieces(batch)):
             of = np.asarray(batch["shard"], dtype=np.int64)
             edges = [0, *(np.nonzero(np.diff(of))[0] + 1).tolist(), len(of)]
             for a, b in zip(edges, edges[1:], strict=False):
@@ -255,7 +264,7 @@ def scorer(model: Model):
     w = {k: v.astype(np.float32) for k, v in model.w.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in pieces(batch)):
             tokens, lengths = tokens_of(batch)
             each, rare = log_probabilities(model, w, tokens, lengths)
             ends = np.cumsum(lengths)
@@ -279,7 +288,7 @@ def score(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
 def placer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in pieces(batch)):
             tokens, lengths = tokens_of(batch)
             each, rare = log_probabilities(model, model.w, tokens, lengths)
             place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
