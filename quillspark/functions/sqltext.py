@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def lit(s: str) -> str:
     """A string literal of standard SQL."""
@@ -16,9 +18,13 @@ class Dialect:
     """Spark SQL."""
 
     name = "spark"
+    #: Makes a pattern ignore case in any script.
+    fold = "(?iu)"
 
     def pattern(self, p: str) -> str:
-        p = p.replace(r"\b", BOUNDARY)
+        # A word boundary that no backslash precedes; letters beyond ASCII fold only where asked to.
+        p = re.sub(r"(?<!\\)((?:\\\\)*)\\b", lambda m: m[1] + BOUNDARY, p)
+        p = p if p.isascii() or not p.startswith("(?i)") else f"(?iu){p[4:]}"
         quote = '"' if "'" in p else "'"
         return f"r{quote}{p}{quote}"
 
@@ -54,6 +60,34 @@ class Dialect:
         """Element i, counted from 1; null beyond the end."""
         return f"get({x}, {i - 1})"
 
+    def at(self, x: str, e: str) -> str:
+        """The element at a place that is an expression, counted from 1; null beyond the end."""
+        return f"get({x}, CAST({e} AS INT) - 1)"
+
+    def first_at(self, x: str, p: str) -> str:
+        """Where a pattern first matches, from 1; 0 if nowhere."""
+        return f"regexp_instr({x}, {self.pattern(p)})"
+
+    def first_spot(self, x: str, catalog: list[tuple[str, ...]]) -> str:
+        """Where the first pattern of an entry that matches does so, times 1000, plus the entry's place; the least of all entries.
+
+        The patterns are data of a lambda and not code, as so many would not compile; texts without any match skip them.
+        """
+        some = self.like(x, "(?i)(?:" + ")|(?:".join(p for ps in catalog for p in ps) + ")")
+        table = "array(" + ", ".join("array(" + ", ".join(self.pattern("(?i)" + p) for p in ps) + ")" for ps in catalog) + ")"
+        spots = f"filter(transform(ps, p -> CAST(regexp_instr({x}, p) AS BIGINT)), v -> v > 0)"
+        return f"CASE WHEN {some} THEN array_min(transform({table}, (ps, i) -> get({spots}, 0) * 1000 + i)) END"
+
+    def hits(self, x: str, catalog: list[tuple[str, str]]) -> str:
+        """The names of the (name, pattern) that match x, in order."""
+        some = self.like(x, "(?i)(?:" + ")|(?:".join(p.removeprefix("(?i)") for _, p in catalog) + ")")
+        table = "array(" + ", ".join(f"struct({self.text(n)} AS n, {self.pattern(p)} AS p)" for n, p in catalog) + ")"
+        return f"CASE WHEN {some} THEN transform(filter({table}, e -> regexp_like({x}, e.p)), e -> e.n) END"
+
+    def some(self, *xs: str) -> str:
+        """The elements that aren't null, in order."""
+        return self.keep(self.array(*xs), "v", "v IS NOT NULL")
+
     def keep(self, x: str, v: str, cond: str) -> str:
         return f"filter({x}, {v} -> {cond})"
 
@@ -104,6 +138,7 @@ class Duck(Dialect):
     """DuckDB."""
 
     name = "duckdb"
+    fold = "(?i)"
 
     def pattern(self, p: str) -> str:
         return lit(p)
@@ -137,12 +172,27 @@ class Duck(Dialect):
     def get(self, x: str, i: int) -> str:
         return f"({x})[{i}]"
 
+    def at(self, x: str, e: str) -> str:
+        return f"({x})[CAST({e} AS BIGINT)]"
+
+    def first_at(self, x: str, p: str) -> str:
+        flags, rest = ("(?i)", p[4:]) if p.startswith("(?i)") else ("", p)
+        before = lit(flags + r"^([\s\S]*?)(?:" + rest + ")")
+        return f"CASE WHEN regexp_matches({x}, {lit(p)}) THEN CAST(length(regexp_extract({x}, {before}, 1)) + 1 AS INTEGER) ELSE 0 END"
+
     def keep(self, x: str, v: str, cond: str) -> str:
         return f"list_filter({x}, lambda {v}: {cond})"
 
     def each(self, x: str, v: str, e: str) -> str:
         return f"list_transform({x}, lambda {v}: {e})"
 
+    def first_spot(self, x: str, catalog: list[tuple[str, ...]]) -> str:
+        entry = lambda ps: "coalesce(" + ", ".join(f"nullif({self.first_at(x, '(?i)' + p)}, 0)" for p in ps) + ")"
+        return "least(" + ", ".join(f"CAST({entry(ps)} AS BIGINT) * 1000 + {i}" for i, ps in enumerate(catalog)) + ")"
+
+    def hits(self, x: str, catalog: list[tuple[str, str]]) -> str:
+        return self.some(*[f"CASE WHEN {self.like(x, p)} THEN {lit(n)} END" for n, p in catalog])
+
     def millis(self, x: str) -> str:
         return f"(epoch_us({x}) // 1000)"
 

@@ -124,6 +124,14 @@ def snake_case(q: Dialect, x: str) -> str:
     return q.replace(q.replace(f"lower(trim({x}))", "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def title_case(q: Dialect, x: str) -> str:
+    """Lower case, with capitals after the start, a blank, a quote or a hyphen."""
+    if q.name == "spark":
+        return f"array_join(transform(split(lower(trim({x})), {q.pattern(r"(?<=[\s'-])")}), w -> concat(upper(substring(w, 1, 1)), substring(w, 2))), '')"
+    pieces = rf"regexp_extract_all(lower(trim({x})), '[^\s''-]*[\s''-]?')"
+    return f"array_to_string(list_transform({pieces}, lambda w: concat(upper(w[1:1]), w[2:])), '')"
+
+
 def similarity(q: Dialect, a: str, b: str) -> str:
     """1 - distance / longer length of lower-case texts; 1 for two empty ones."""
     longer = f"greatest(length({a}), length({b}))"

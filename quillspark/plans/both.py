@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sqltext import DUCK, SPARK, Dialect, lit
+from ..session import stored
 from ..sources import fixtures
 from .entry import REGISTRY, query
 
@@ -32,12 +33,29 @@ _PARTS = f"(SELECT doc_id, page, string_split_regex({T.normalized(DUCK, 'text')}
 LINES_SQL = f"(SELECT doc_id, page, CAST(i - 1 AS INTEGER) AS line, parts[i] AS text, {T.tag_section(DUCK, 'parts[i]')} AS section FROM (SELECT doc_id, page, parts, unnest(range(1, len(parts) + 1)) AS i FROM {_PARTS} AS split_pages) AS numbered)"
 
 
+#: Derived tables that are written, by session, name and state of the documents.
+STORED: dict[tuple, DataFrame] = {}
+
+
 class Names:
     """Table references of a statement; intake and lines are derived."""
 
     def __init__(self, spark: SparkSession | None = None, sf_dir: str = ""):
         self._spark, self._dir = spark, sf_dir.rstrip("/")
 
+    def stored(self, name: str, sql: str) -> str:
+        """A derived table that many statements use: in Spark written once by the shared folder, and read again while the documents
+        file stays the same (its time and length)."""
+        if self._spark is None:
+            return f"{sql} AS {name}"
+        place = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._dir}/documents.parquet")
+        status = place.getFileSystem(self._spark._jsc.hadoopConfiguration()).getFileStatus(place)
+        key = (self._spark.sparkContext.applicationId, name, self._dir, status.getModificationTime(), status.getLen())
+        if key not in STORED:
+            STORED[key] = stored(self._spark.sql(f"SELECT * FROM {sql} AS {name}"), name)
+        STORED[key].createOrReplaceTempView(f"qs_{name}")
+        return f"qs_{name} AS {name}"
+
     def __getattr__(self, name: str) -> str:
         if self._spark is None:
             return {"intake": f"{INTAKE_SQL} AS intake", "lines": f"{LINES_SQL} AS lines"}.get(name, name)

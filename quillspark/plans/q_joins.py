@@ -2,71 +2,108 @@
 
 from __future__ import annotations
 
+from ..catalogs import bcbs as B
+from ..catalogs import carriers as C
+from ..catalogs import payers as P
 from ..functions import text as T
+from . import q_result as R
 from .both import both
-from .q_detect import CARRIERS, carrier_hits, cpt_hits
+from .q_detect import member_ids
 
-# Small catalogs.
-PREAUTH = [("aetna", "95811", "preauth_check_needed"), ("united healthcare", "95811", "preauth_check_needed"), ("anthem bcbs", "95810", "preauth_check_needed"), ("cigna", "95811", "preauth_check_needed"), ("humana", "95782", "preauth_check_needed")]
-ROUTES = [(1, "aetna", "aetna"), (2, "anthem bcbs", "bcbs"), (3, "cigna", "cigna"), (4, "humana gold", "humana"), (5, "medicare", "medicare_ffs"), (6, "medicaid", "nevada_medicaid"), (7, "united healthcare", "uhc"), (8, "tricare west", "tricare")]
-ID_ROUTES = [(1, "^W[0-9]{9}$", "aetna"), (2, "^[A-Z]{3}[0-9]+$", "bcbs"), (3, "^[0-9][A-Z].*", "medicare_ffs")]
-RATES = [("aetna", "95810", 610), ("aetna", "95811", 720), ("bcbs", "95810", 580), ("cigna", "95811", 690), ("medicare_ffs", "95810", 540), ("uhc", "95806", 160)]
-# End of fixed values.
+#: Names as a reader of scans may give them, for lookups that must stand misreading.
+READ_NAMES = ["Aetna", "Aetha", "aetna medicare", "Humanna", "Cigna PPO", "United Heathcare", "united health group", "Tricare East", "Unlisted", "west valley", "Medicar", "Blue Cros/Blue Shield", "BCBS TX", "Premera BCBS of Washington"]
+#: An alpha-prefix table of the same columns as a production one.
+PREFIXES = [("ABC", "BCBS NV (Anthem)"), ("A11", "BCBS TX"), ("W12", "Horizon BCBS NJ"), ("C22", "BCBS IL")]
 
 
 @both("join_preauth")
 def join_preauth(q, t):
-    carriers = carrier_hits(q, "text", t.intake)
-    return f"SELECT DISTINCT carrier_hits.doc_id, name AS carrier, code AS cpt, action FROM {carriers} JOIN {cpt_hits(q, t)} ON carrier_hits.doc_id = hits.doc_id JOIN {q.values('preauth', 'who, cpt, action', PREAUTH)} ON who = lower(name) AND cpt = code"
+    rules = q.values("preauth", "who, code, action, note", [(c.lower(), p, a, n) for c, p, a, n in C.PREAUTH])
+    return f"SELECT carriers.doc_id, carrier, cpt, action, note FROM {R.carriers(q, t.intake)} JOIN {R.cpt(q, t)} ON carriers.doc_id = procedures.doc_id JOIN {rules} ON who = lower(carrier) AND code = cpt"
 
 
 @both("join_regex_catalog")
 def join_regex_catalog(q, t):
-    return f"SELECT doc_id, name FROM {t.intake} JOIN {q.values('carriers', 'name, status, pattern', CARRIERS)} ON {q.like_column('text', 'pattern')}"
+    """Every carrier of the catalog that a text names."""
+    found = q.hits("text", [(n, "(?i)(?:" + ")|(?:".join(ps) + ")") for n, _, ps in C.CARRIERS])
+    return f"SELECT doc_id, {q.explode(found)} AS name FROM {t.intake}"
+
+
+def payer_of(q, names: str) -> str:
+    """Of each carrier of names its route: exact, then either within the other, then most shared words; the first of a tier."""
+    words = lambda x: q.keep(q.split(x, r"\s+"), "w", "length(w) > 2")
+    shared = f"size(array_intersect({words('low')}, {words('key')}))" if q.name == "spark" else f"CAST(len(list_intersect({words('low')}, {words('key')})) AS INTEGER)"
+    tier = f"CASE WHEN low = key THEN 1 WHEN {q.contains('low', 'key')} OR {q.contains('key', 'low')} THEN 2 WHEN {shared} > 0 THEN 3 END"
+    routes = q.values("routes", "ord, key, payer", [(i, k, p) for i, (k, p) in enumerate(P.ROUTES)])
+    tried = f"SELECT carrier, payer, ord, key, {tier} AS tier, CASE WHEN low <> key THEN {shared} ELSE 0 END AS overlap FROM (SELECT DISTINCT carrier, lower(trim(carrier)) AS low FROM {names}) AS named CROSS JOIN {routes}"
+    return f"(SELECT carrier, payer, tier, key AS matched FROM (SELECT *, row_number() OVER (PARTITION BY carrier ORDER BY tier, CASE WHEN tier = 3 THEN -overlap ELSE 0 END, ord) AS place FROM ({tried}) AS a WHERE tier IS NOT NULL) AS b WHERE place = 1) AS payer_of"
+
+
+def listed_names(q) -> str:
+    return q.values("listed", "carrier", [(n,) for n in dict.fromkeys([n for n, _, _ in C.CARRIERS] + READ_NAMES)])
 
 
 @both("join_payer_resolve")
 def join_payer_resolve(q, t):
-    """Exact, then either within the other, then shared words; the first route of the best tier."""
-    words = lambda x: q.keep(q.split(x, r"\s+"), "w", "length(w) > 2")
-    shared = f"size(array_intersect({words('carrier')}, {words('key')}))" if q.name == "spark" else f"CAST(len(list_intersect({words('carrier')}, {words('key')})) AS INTEGER)"
-    tier = f"CASE WHEN carrier = key THEN 1 WHEN {q.contains('carrier', 'key')} OR {q.contains('key', 'carrier')} THEN 2 WHEN {shared} > 0 THEN 3 END"
-    names = q.values("named", "carrier", [("aetna",), ("aetna medicare",), ("humana",), ("united health group",), ("tricare east",), ("unlisted",), ("west valley",)])
-    return f"""SELECT carrier, payer, tier FROM (SELECT carrier, payer, tier, row_number() OVER (PARTITION BY carrier ORDER BY tier, overlap DESC, ord) AS place FROM (
-      SELECT carrier, payer, ord, {tier} AS tier, CASE WHEN {tier} = 3 THEN {shared} ELSE 0 END AS overlap FROM {names} CROSS JOIN {q.values('routes', 'ord, key, payer', ROUTES)}) AS a WHERE tier IS NOT NULL) AS b WHERE place = 1"""
+    return f"SELECT carrier, payer, tier, matched FROM {payer_of(q, listed_names(q))}"
+
+
+def id_payer(q, x: str) -> str:
+    """The payer of the first pattern that a member id has."""
+    return "CASE " + " ".join(f"WHEN {q.like(x, p)} THEN {q.text(payer)}" for _, p, payer, _ in P.ID_ROUTES) + " END"
 
 
 @both("join_payer_by_id")
 def join_payer_by_id(q, t):
-    token = q.extract("text", r"\b[A-Z0-9]{9,12}\b")
-    return f"""SELECT doc_id, token, payer FROM (SELECT doc_id, token, payer, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS place FROM (SELECT doc_id, {token} AS token FROM {t.intake}) AS a JOIN {q.values('routes', 'ord, pattern, payer', ID_ROUTES)} ON {q.like_column('token', 'pattern')}) AS b WHERE place = 1"""
+    return f"SELECT doc_id, value, {id_payer(q, 'value')} AS payer FROM {member_ids(q, t)}"
+
+
+def allowables(q, wanted: str) -> str:
+    """wanted (payer, cpt) with the first entry of the rates that names the payer, and its rate, null where the entry lacks the code."""
+    flat = lambda x: " ".join(x.lower().replace("_", " ").replace("-", " ").split())
+    entries = q.values("entries", "ord, entry, key, alias", [(i, n, flat(n), flat(a) if a else None) for i, (n, aliases, _) in enumerate(P.RATES) for a in (aliases or (None,))])
+    rates = q.values("rates", "entry, code, rate", [(n, c, r) for n, _, rs in P.RATES for c, r in rs])
+    p = q.replace("lower(payer)", r"[\s_-]+", " ")
+    hit = f"key = p OR {q.contains('key', 'p')} OR {q.contains('p', 'key')} OR coalesce(alias = p OR {q.contains('alias', 'p')}, false)"
+    first = f"SELECT payer, {q.first_by('entry', 'ord')} AS entry FROM (SELECT DISTINCT payer, {p} AS p FROM {wanted}) AS w JOIN {entries} ON {hit} GROUP BY 1"
+    return f"(SELECT wanted.payer, wanted.cpt, f.entry, CAST(rate AS DOUBLE) AS rate FROM {wanted} LEFT JOIN ({first}) AS f ON f.payer = wanted.payer LEFT JOIN {rates} ON rates.entry = f.entry AND rates.code = wanted.cpt) AS allowables"
 
 
 @both("join_allowable")
 def join_allowable(q, t):
-    return f"SELECT routes.key AS carrier, codes.cpt, rate FROM {q.values('routes', 'ord, key, payer', ROUTES)} CROSS JOIN {q.values('codes', 'cpt', [('95810',), ('95811',), ('95806',)])} LEFT JOIN {q.values('rates', 'payer, cpt, rate', RATES)} ON rates.payer = routes.payer AND rates.cpt = codes.cpt"
+    payers, codes = sorted({p for _, p in P.ROUTES}), sorted({c for _, _, rs in P.RATES for c, _ in rs})
+    return f"SELECT payer, cpt, entry, rate FROM {allowables(q, q.values('wanted', 'payer, cpt', [(p, c) for p in payers for c in codes]))}"
 
 
 @both("join_payer_coverage")
 def join_payer_coverage(q, t):
-    return f"SELECT s_suppkey, p_partkey, l_quantity IS NOT NULL AS covered FROM {t.supplier} JOIN {t.part} ON p_partkey % 50 = s_suppkey % 50 LEFT JOIN (SELECT l_suppkey, l_partkey, max(l_quantity) AS l_quantity FROM {t.lineitem} GROUP BY 1, 2) AS c ON l_suppkey = s_suppkey AND l_partkey = p_partkey"
+    """Returned pairs of supplier and part, and whether a sale that was kept covers the pair."""
+    line = t.lineitem
+    return f"SELECT r.l_suppkey, r.l_partkey, c.quantity IS NOT NULL AS covered, c.quantity FROM (SELECT DISTINCT l_suppkey, l_partkey FROM {line} WHERE l_returnflag = 'R') AS r LEFT JOIN (SELECT l_suppkey, l_partkey, max(l_quantity) AS quantity FROM {line} WHERE l_returnflag <> 'R' GROUP BY 1, 2) AS c ON c.l_suppkey = r.l_suppkey AND c.l_partkey = r.l_partkey"
 
 
 @both("join_bcbs_prefix")
 def join_bcbs_prefix(q, t):
-    return f"SELECT c_custkey, n_name AS plan FROM {t.customer} LEFT JOIN {t.nation} ON substring(c_mktsegment, 1, 1) = substring(n_name, 1, 1) AND n_nationkey = c_nationkey"
+    """Member ids with the affiliate of their three-character prefix."""
+    return f"SELECT doc_id, value, p, affiliate FROM (SELECT doc_id, value, {q.extract('value', '^[A-Z][A-Z0-9]{2}')} AS p FROM {member_ids(q, t)}) AS m LEFT JOIN {q.values('prefixes', 'prefix, affiliate', PREFIXES)} ON prefix = p"
+
+
+def affiliate(q, x: str) -> str:
+    """The first affiliate whose key or name a carrier's name holds."""
+    return "CASE " + " ".join(f"WHEN {q.contains(f'lower({x})', q.text(k.replace('_', ' ')))} OR {q.contains(f'lower({x})', q.text(n.lower()))} THEN {q.text(k)}" for k, n in B.AFFILIATES) + " END"
 
 
 @both("join_affiliate")
 def join_affiliate(q, t):
-    return f"SELECT n_nationkey, r_regionkey FROM {t.nation} JOIN {t.region} ON {q.contains('lower(n_name)', 'lower(substring(r_name, 1, 1))')}"
+    return f"SELECT carrier, {affiliate(q, 'carrier')} AS affiliate FROM {listed_names(q)}"
 
 
 @both("join_fuzzy_correction")
 def join_fuzzy_correction(q, t):
-    """Each name's most similar other of the same first letter, from 0.8."""
-    sim = T.similarity(q, "a.n_name", "b.n_name")
-    return f"SELECT name, corrected, sim FROM (SELECT a.n_name AS name, b.n_name AS corrected, {sim} AS sim, row_number() OVER (PARTITION BY a.n_nationkey ORDER BY {sim} DESC, b.n_nationkey) AS place FROM {t.nation.replace(' AS nation', '')} AS a JOIN {t.nation.replace(' AS nation', '')} AS b ON substring(a.n_name, 1, 1) = substring(b.n_name, 1, 1) AND a.n_nationkey <> b.n_nationkey) AS x WHERE place = 1 AND sim >= 0.3"
+    """Each name as read with the most similar of the catalog, from 0.8; the catalog is bounded, so each name meets all of it."""
+    sim = T.similarity(q, "name", "carrier")
+    table = q.values("catalog", "ord, carrier", [(i, n) for i, (n, _, _) in enumerate(C.CARRIERS)])
+    return f"SELECT name, carrier, sim FROM (SELECT name, carrier, sim, row_number() OVER (PARTITION BY name ORDER BY sim DESC, ord) AS place FROM (SELECT name, carrier, ord, {sim} AS sim FROM {q.values('seen', 'name', [(n,) for n in READ_NAMES])} CROSS JOIN {table}) AS a) AS b WHERE place = 1 AND sim >= 0.8"
 
 
 @both("join_npi_fuzzy")
@@ -87,12 +124,12 @@ def nearest(q, t, seconds: int, either: bool) -> str:
 
 @both("join_asof_summary")
 def join_asof_summary(q, t):
-    return nearest(q, t, 600, False)
+    return nearest(q, t, 60, True)
 
 
 @both("join_asof_hash")
 def join_asof_hash(q, t):
-    return nearest(q, t, 1200, True)
+    return nearest(q, t, 120, True)
 
 
 @both("join_hash_original")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+from ..catalogs.conditions import CONDITIONS
+from ..catalogs.cpt import CPT
+from ..catalogs.icd import ICD
 from .both import both
-from .q_detect import CPT, ICD_ALLOWED, PHONE
+from .q_detect import PHONE
 
 # Phrases, conditions and labels.
 CODE = r"\b[A-TV-Z]\d{2}\.\d{1,4}\b"
 NEGATION = r"(?i)\b(no|denies|denied|without|negative|ruled?\s+out)\b"
 PROCEDURE = r"(?i)(\bcpt\b|procedure|polysomnogra|titration)"
 SKIPPED = r"(?i)(reference\s+range|specimen|lab\s+results?|medications?|review\s+of\s+systems|date\s+collected)"
-PROBLEMS = [
-    ("hypertension", "I10", r"hypertension|high\s+blood\s+pressure"), ("sleep_apnea", "G47.33", r"(obstructive\s+)?sleep\s+apnea"),
-    ("obesity", "E66.9", r"obesity|obese"), ("diabetes", "E11.9", r"diabetes"), ("insomnia", "G47.00", r"insomnia"), ("asthma", "J45.909", r"asthma"),
-]
 REPAIRS = [("0xygen", "oxygen"), ("hypertensi0n", "hypertension"), ("pateint", "patient"), ("snornig", "snoring"), ("obstructve", "obstructive")]
 ACTION_LABELS = [("Prior study evidence", "document_prior_study_evidence"), ("Obtain PCP referral", "obtain_pcp_referral"), ("Verify insurance", "verify_insurance")]
 # End of fixed values.
@@ -53,11 +52,14 @@ def dx_past_encounters(q, t):
 
 @both("dx_from_problems")
 def dx_from_problems(q, t):
-    """Conditions that a text names without a negation in the 40 characters before."""
-    any_of = "(?i)(" + "|".join(p for _, _, p in PROBLEMS) + ")"
-    table = q.values("problem", "condition, code, hit, negated", [(n, c, "(?i)(" + p + ")", r"(?i)(no|denies|without)\s[ -~]{0,40}(" + p + ")") for n, c, p in PROBLEMS])
-    few = f"(SELECT doc_id, line, text FROM {t.lines} WHERE {q.like('text', any_of)}) AS few"
-    return f"SELECT doc_id, condition, code, min(line) AS line FROM {few} JOIN {table} ON {q.like_column('text', 'hit')} AND NOT {q.like_column('text', 'negated')} GROUP BY 1, 2, 3"
+    """Conditions that a line names, any blanks between their words, without a negation in the 40 characters before."""
+    names = {n: (n.replace(" ", r"\s+").replace("-", r"[-\s]"), c) for n, c in CONDITIONS}
+    # What stands right before a condition counts against it, so hits that a negation leads are taken away.
+    hits = q.hits("text", [(n + "|" + c, rf"(?i)\b({p})\b") for n, (p, c) in names.items()])
+    denied = q.hits("text", [(n + "|" + c, rf"(?i)\b(no|denies|without)\s[ -~]{{0,40}}({p})\b") for n, (p, c) in names.items()])
+    less = f"array_except(found, coalesce(denied, array()))" if q.name == "spark" else "list_filter(found, lambda v: NOT list_contains(coalesce(denied, []), v))"
+    found = f"SELECT doc_id, line, {q.explode(less)} AS hit FROM (SELECT doc_id, line, {hits} AS found, {denied} AS denied FROM {t.lines}) AS h"
+    return f"SELECT doc_id, {q.replace('hit', '[|].*$', '')} AS condition, {q.replace('hit', '^.*[|]', '')} AS code, min(line) AS line FROM ({found}) AS x GROUP BY 1, 2, 3"
 
 
 @both("ocr_artifact")
@@ -155,19 +157,19 @@ def code_cleaning(q, t):
 
 @both("rule_engine_codes")
 def rule_engine_codes(q, t):
-    """The intended score of codes in a line: catalog pattern 10, a label 20, a header line -30; best code of a document."""
-    table = q.values("rule", "code, ord, pattern", [(c, o, p.replace(r"\b", "")) for c, o, p in CPT])
-    any_of = "(?i)(" + "|".join(p.replace("(?i)", "").replace(r"\b", "") for _, _, p in CPT) + ")"
-    few = f"(SELECT doc_id, line, text FROM {t.lines} WHERE {q.like('text', any_of)}) AS few"
+    """The intended score of codes in a line: catalog phrase 10, a label 20, a header line -30; best code of a document."""
+    hits = q.some(*[f"CASE WHEN {q.like('text', '(?i)(' + '|'.join(ps) + ')')} THEN '{c}' END" for c, _, ps in CPT])
+    found = f"SELECT doc_id, line, text, {q.explode(hits)} AS code FROM {t.lines}"
+    order = "CASE code " + " ".join(f"WHEN '{c}' THEN {i}" for i, (c, _, _) in enumerate(CPT)) + " END"
     score = f"10 + CASE WHEN {q.like('text', r'(?i)(cpt|order|procedure)')} THEN 20 ELSE 0 END - CASE WHEN {q.like('text', r'(?i)(fax|cover|confidential)')} THEN 30 ELSE 0 END"
-    ranked = f"SELECT doc_id, code, {score} AS score, row_number() OVER (PARTITION BY doc_id ORDER BY {score} DESC, ord, line) AS place FROM {few} JOIN {table} ON {q.like_column('text', 'pattern')}"
+    ranked = f"SELECT doc_id, code, {score} AS score, row_number() OVER (PARTITION BY doc_id ORDER BY {score} DESC, {order}, line) AS place FROM ({found}) AS f"
     return f"SELECT doc_id, code, score FROM ({ranked}) AS x WHERE place = 1"
 
 
 @both("rule_engine_icd")
 def rule_engine_icd(q, t):
     """The intended score of diagnosis codes: allowed 10, labelled 20, so far as a line holds them."""
-    allowed = ", ".join(f"'{c}'" for c in ICD_ALLOWED)
+    allowed = ", ".join(f"'{c}'" for c, _ in ICD)
     return f"SELECT doc_id, line, code, CASE WHEN code IN ({allowed}) THEN 10 ELSE 0 END + CASE WHEN {q.like('ctx', r'(?i)(icd|diagnosis)')} THEN 20 ELSE 0 END AS score FROM {mined(q, t)}"
 
 

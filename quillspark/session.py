@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -32,3 +34,21 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, of spark.checkpoint.dir. A local master may do without; a cluster may not."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
+        shared = "/tmp/quillspark-checkpoints"
+    return shared.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back, so its lineage is cut and several readers share it."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def events(spark: SparkSession, path: str) -> DataFrame:
     """Events as a stream with a ten-minute watermark. Times are cut to milliseconds; a watermark needs a zone."""
@@ -33,13 +35,27 @@ def tumbling(stream: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 def once(frame: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there, into a table of this session, and returns the table."""
+    """Runs a stream over all that is there, into Parquet in the shared folder, and returns that table. Nothing goes to the driver.
+
+    In complete mode each batch writes the whole result to a folder of its own, and the last one is read.
+    """
     spark = frame.sparkSession
-    name = f"stream_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/quillspark-checkpoints"
-    run = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base.rstrip('/')}/{name}").trigger(availableNow=True).start()
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # One batch at least, so that a stream without rows gives an empty table.
+    last = {"path": f"{base}/none"}
+    spark.createDataFrame([], frame.schema).write.parquet(last["path"])
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        if mode == "complete":
+            last["path"] = f"{base}/b{batch}"
+            rows.write.mode("overwrite").parquet(last["path"])
+        else:
+            rows.write.mode("overwrite").parquet(f"{base}/out/b{batch}")
+            last["path"] = f"{base}/out"
+
+    run = frame.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(frame.schema).option("recursiveFileLookup", True).parquet(last["path"])
 
 
 def deduplicated(stream: DataFrame) -> DataFrame:
