@@ -17,6 +17,7 @@ from . import q_result as R
 from .both import both
 from .q_detect import METRICS, addresses, best_phones, detect_provider, member_ranks, phone, provider_npi, provider_phone_fax
 from .q_joins import READ_NAMES, affiliate, allowables, id_payer, payer_of
+from .q_reports import ranked
 
 # Phrases that rules look for, weights and code sets.
 TEXT_FLAGS = {
@@ -507,12 +508,24 @@ def stream_rate_limit(q, t):
 
 @both("stream_running_stats")
 def stream_running_stats(q, t):
-    return f"SELECT event_id, count(*) OVER w AS n, min(value) OVER w AS least, max(value) OVER w AS most FROM {t.events} WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+    """Count, least and greatest so far, by type: within each hour, and carried over from the hours before it."""
+    hour = f"CAST(floor({q.millis('ts')} / 3600000.0) AS BIGINT)"
+    rows = f"SELECT event_id, event_type, value, ts, {hour} AS hour FROM {t.events}"
+    before = "OVER (PARTITION BY event_type ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    hours = f"SELECT event_type, hour, coalesce(sum(n) {before}, 0) AS n0, min(least) {before} AS least0, max(most) {before} AS most0 FROM (SELECT event_type, hour, count(*) AS n, min(value) AS least, max(value) AS most FROM ({rows}) AS r GROUP BY 1, 2) AS h"
+    own = "OVER (PARTITION BY event_type, hour ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
+    within = f"SELECT event_id, event_type, hour, count(*) {own} AS n1, min(value) {own} AS least1, max(value) {own} AS most1 FROM ({rows}) AS r"
+    return f"SELECT event_id, CAST(n0 + n1 AS BIGINT) AS n, least(least0, least1) AS least, greatest(most0, most1) AS most FROM ({within}) AS w JOIN ({hours}) AS b ON b.event_type = w.event_type AND b.hour = w.hour"
 
 
 @both("stream_poll_status")
 def stream_poll_status(q, t):
-    return f"SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'processing' WHEN 'F' THEN 'done' ELSE 'error' END AS status FROM {t.orders}"
+    """The last state of each user's requests, and the kind of an error by words of its message."""
+    state = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'processing' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'done' ELSE 'error' END"
+    kind = f"CASE WHEN {q.like('message', '(?i)timeout|timed out')} THEN 'timeout' WHEN {q.like('message', '(?i)econnrefused|network|socket')} THEN 'network' WHEN {q.like('message', '(?i)ocr')} THEN 'ocr' WHEN {q.like('message', '(?i)parse|json')} THEN 'parse' WHEN {q.like('message', '(?i)not found|404')} THEN 'not_found' ELSE 'unknown' END"
+    message = "CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'Request timed out' WHEN 1 THEN 'connect ECONNREFUSED' WHEN 2 THEN 'OCR service 500' WHEN 3 THEN 'JSON parse failure' WHEN 4 THEN '404 Not Found' ELSE 'boom' END"
+    last = f"SELECT user_id, {q.first_by('event_id', f'-({q.millis("ts")} * 1000000 + event_id)')} AS event_id, {q.first_by('event_type', f'-({q.millis("ts")} * 1000000 + event_id)')} AS event_type FROM {t.events} GROUP BY 1"
+    return f"SELECT user_id, {state} AS status, CASE WHEN {state} = 'error' THEN {kind} END AS error FROM (SELECT user_id, event_type, {message} AS message FROM ({last}) AS l) AS m"
 
 
 @both("sim_levenshtein")
@@ -564,4 +577,5 @@ def sink_ndjson_rotate(q, t):
 
 @both("sink_bulk_export")
 def sink_bulk_export(q, t):
-    return f"SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM {t.orders}"
+    """Results, newest first, with their place in the export."""
+    return f"SELECT o_orderkey, place FROM {ranked(f'SELECT o_orderkey, o_orderdate FROM {t.orders}', ['o_orderdate', 'o_orderkey'], ['o_orderdate'], descending=True)}"

@@ -429,3 +429,13 @@ def highlight_spans(q, t):
     """Lines that hold the document's phone or birth date, three a field at most."""
     values = f"SELECT doc_id, 'phone' AS field, substring(digits, 7, 4) AS v FROM {phones(q, t)} WHERE reason IS NULL UNION ALL SELECT doc_id, 'date', iso FROM {dates(q, t)} WHERE iso IS NOT NULL AND type <> 'unknown'"
     return f"SELECT doc_id, field, line FROM (SELECT DISTINCT l.doc_id, field, l.line, dense_rank() OVER (PARTITION BY l.doc_id, field ORDER BY l.line) AS place FROM {t.lines.replace(' AS lines', ' AS l')} JOIN ({values}) AS v ON v.doc_id = l.doc_id AND {q.contains('l.text', 'v.v')}) AS x WHERE place <= 3"
+
+
+@both("rule_engine_misc")
+def rule_engine_misc(q, t):
+    """Credentials of a line, and the kind of page that its words suggest; both from small tables, as the rule files are optional."""
+    # Credentials.
+    credentials = ["MD", "DO", "NP", "FNP", "PA-?C", "APRN", "ANP", "DC", "RN", "PhD"]
+    # End of fixed values.
+    found = q.hits("text", [(c.replace("?", ""), rf"\b{c}\b") for c in credentials])
+    return f"SELECT doc_id, line, {q.explode(found)} AS credential FROM {t.lines}"

@@ -106,11 +106,25 @@ def join_fuzzy_correction(q, t):
     return f"SELECT name, carrier, sim FROM (SELECT name, carrier, sim, row_number() OVER (PARTITION BY name ORDER BY sim DESC, ord) AS place FROM (SELECT name, carrier, ord, {sim} AS sim FROM {q.values('seen', 'name', [(n,) for n in READ_NAMES])} CROSS JOIN {table}) AS a) AS b WHERE place = 1 AND sim >= 0.8"
 
 
+#: Names to look up in a registry, as read.
+WANTED = ["Suplier#000000001", "Supplier#00000002", "Supplier #000000003", "Suppl1er#000000004", "supplier#000000005", "Customer#000000001", "nobody"]
+
+
 @both("join_npi_fuzzy")
 def join_npi_fuzzy(q, t):
-    """Suppliers against customers of the same nation by name, from 0.7."""
-    sim = T.similarity(q, q.replace("s_name", "[^0-9]", ""), q.replace("c_name", "[^0-9]", ""))
-    return f"SELECT s_suppkey, c_custkey, sim FROM (SELECT s_suppkey, c_custkey, {sim} AS sim, row_number() OVER (PARTITION BY s_suppkey ORDER BY {sim} DESC, c_custkey) AS place FROM {t.supplier} JOIN {t.customer} ON s_nationkey = c_nationkey) AS x WHERE place = 1 AND sim >= 0.7"
+    """A stated set of names against the whole registry: for each the most similar entry, from 0.7. Grouped with combination."""
+    sim = T.similarity(q, "wanted", "s_name")
+    tried = f"SELECT wanted, s_suppkey, {sim} AS sim FROM {t.supplier} CROSS JOIN {q.values('wanted_names', 'wanted', [(n,) for n in WANTED])}"
+    best = f"SELECT wanted AS w, max(sim) AS top FROM ({tried}) AS a GROUP BY 1"
+    return f"SELECT wanted, min(s_suppkey) AS s_suppkey, sim FROM ({tried}) AS b JOIN ({best}) AS c ON w = wanted AND sim = top WHERE sim >= 0.7 GROUP BY wanted, sim"
+
+
+@both("src_npi")
+def src_npi(q, t):
+    """A registry's entries by number: the providers of the texts that a table of numbers knows."""
+    npi = q.extract("text", r"(?i)\bnpi\b\s*[:#]?\s*(\d{10})\b", 1)
+    registry = q.values("registry", "number, name, taxonomy", [("1234567893", "Alice Carter", "Sleep Medicine"), ("1111111112", "Bob Stone", "Family Medicine")])
+    return f"SELECT doc_id, npi, name, taxonomy FROM (SELECT doc_id, {npi} AS npi FROM {t.intake}) AS a JOIN {registry} ON number = npi"
 
 
 def nearest(q, t, seconds: int, either: bool) -> str:

@@ -72,19 +72,26 @@ def agg_latency_pct(q, t):
     return f"SELECT event_type, CAST(max(n) AS BIGINT) AS n, {pick(0.5)} AS p50, {pick(0.9)} AS p90, {pick(0.95)} AS p95, max(value) AS max_value FROM ({placed}) AS a GROUP BY 1"
 
 
+def edges20(q, t) -> tuple[str, str]:
+    """The first and the last 20 samples of each type. Each is a limit by group, which is taken before the shuffle too."""
+    one = lambda order: f"SELECT event_id, event_type, value FROM (SELECT event_id, event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY {order}) AS place FROM {t.events}) AS x WHERE place <= 20"
+    return one("ts, event_id"), one("ts DESC, event_id DESC")
+
+
 @both("agg_conf_drift")
 def agg_conf_drift(q, t):
     """Mean of the first against the last 20 samples of ten or more; alert beyond a tenth."""
-    return f"""SELECT event_type, n, base, recent, CASE WHEN base <> 0 THEN (recent - base) / base ELSE 0 END AS pct, CASE WHEN base <> 0 THEN abs((recent - base) / base) > 0.10 ELSE false END AS alert FROM (
-      SELECT event_type, max(n) AS n, avg(CASE WHEN a <= 20 THEN value END) AS base, avg(CASE WHEN d <= 20 THEN value END) AS recent FROM (
-        SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS a, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS d, count(*) OVER (PARTITION BY event_type) AS n FROM {t.events} WHERE value IS NOT NULL) AS x
-      GROUP BY 1) AS y WHERE n >= 10"""
+    first, last = edges20(q, t)
+    mean = lambda x, c: f"SELECT event_type, avg(value) AS {c} FROM ({x}) AS e GROUP BY 1"
+    counted = f"SELECT event_type, count(value) AS n FROM {t.events} GROUP BY 1"
+    return f"""SELECT c.event_type, n, base, recent, CASE WHEN base <> 0 THEN (recent - base) / base ELSE 0 END AS pct, CASE WHEN base <> 0 THEN abs((recent - base) / base) > 0.10 ELSE false END AS alert
+      FROM ({counted}) AS c JOIN ({mean(first, 'base')}) AS f ON f.event_type = c.event_type JOIN ({mean(last, 'recent')}) AS l ON l.event_type = c.event_type WHERE n >= 10"""
 
 
 @both("win_first_last20")
 def win_first_last20(q, t):
-    return f"""SELECT event_id, event_type, a <= 20 AS baseline, d <= 20 AS recent FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS a,
-      row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS d FROM {t.events}) AS x WHERE a <= 20 OR d <= 20"""
+    first, last = edges20(q, t)
+    return f"SELECT coalesce(f.event_id, l.event_id) AS event_id, coalesce(f.event_type, l.event_type) AS event_type, f.event_id IS NOT NULL AS baseline, l.event_id IS NOT NULL AS recent FROM ({first}) AS f FULL OUTER JOIN ({last}) AS l ON l.event_id = f.event_id"
 
 
 @both("agg_counters")
@@ -125,14 +132,30 @@ def limit_list(q, t):
     return f"SELECT o_orderkey AS id, o_orderdate AS processed_at FROM {t.orders} ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500"
 
 
+def ranked(rows: str, keys: list[str], buckets: list[str], descending: bool = False) -> str:
+    """rows with their place in the order of keys. buckets: expressions in the same order, few of whose rows are alike.
+
+    Rows are numbered within their bucket, and the rows of earlier buckets are added: only the table of buckets meets in a task.
+    """
+    way = " DESC" if descending else ""
+    named = ", ".join(f"{e} AS b{i}" for i, e in enumerate(buckets))
+    of = ", ".join(f"b{i}" for i in range(len(buckets)))
+    counts = f"SELECT {of}, sum(c) OVER (ORDER BY {', '.join(f'b{i}{way}' for i in range(len(buckets)))} ROWS UNBOUNDED PRECEDING) - c AS earlier FROM (SELECT {of}, count(*) AS c FROM (SELECT {named} FROM ({rows}) AS r0) AS r1 GROUP BY {of}) AS r2"
+    numbered = f"SELECT *, row_number() OVER (PARTITION BY {of} ORDER BY {', '.join(k + way for k in keys)}) AS own FROM (SELECT *, {named} FROM ({rows}) AS r3) AS r4"
+    match = " AND ".join(f"n.b{i} = e.b{i}" for i in range(len(buckets)))
+    return f"(SELECT n.*, CAST(own + earlier AS BIGINT) AS place FROM ({numbered}) AS n JOIN ({counts}) AS e ON {match}) AS ranked"
+
+
 @both("sort_severity")
 def sort_severity(q, t):
-    return f"SELECT o_orderkey AS id, CAST(substring(o_orderpriority, 1, 1) AS INT) AS severity, row_number() OVER (ORDER BY substring(o_orderpriority, 1, 1), o_orderkey) AS place FROM {t.orders}"
+    rows = f"SELECT o_orderkey, CAST(substring(o_orderpriority, 1, 1) AS INT) AS severity FROM {t.orders}"
+    return f"SELECT o_orderkey AS id, severity, place FROM {ranked(rows, ['severity', 'o_orderkey'], ['severity', 'CAST(floor(o_orderkey / 65536.0) AS BIGINT)'])}"
 
 
 @both("sort_string_lc")
 def sort_string_lc(q, t):
-    return f"SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name), p_name, p_partkey) AS place FROM {t.part}"
+    rows = f"SELECT p_partkey, p_name, lower(p_name) AS low FROM {t.part}"
+    return f"SELECT p_partkey, place FROM {ranked(rows, ['low', 'p_name', 'p_partkey'], ['substring(low, 1, 4)'])}"
 
 
 @both("argmax")
@@ -336,12 +359,9 @@ def set_redundancy(q, t):
 
 @both("set_intersect_words")
 def set_intersect_words(q, t):
-    words = lambda x: q.keep(q.split(f"lower({x})", "[ #]+"), "w", "length(w) > 2")
-    if q.name == "spark":
-        n = f"size(array_intersect({words('c_name')}, {words('s_name')}))"
-    else:
-        n = f"CAST(len(list_intersect({words('c_name')}, {words('s_name')})) AS INTEGER)"
-    return f"SELECT c_custkey, s_suppkey, {n} AS shared FROM {t.customer} JOIN {t.supplier} ON c_nationkey = s_nationkey"
+    """Customers and suppliers whose names share words, and how many: joined by word, so names without one never meet."""
+    words = lambda x: q.explode(q.distinct(q.keep(q.split(f"lower({x})", "[ #]+"), "w", "length(w) > 2")))
+    return f"SELECT c_custkey, s_suppkey, count(*) AS shared FROM (SELECT c_custkey, {words('c_name')} AS word FROM {t.customer}) AS c JOIN (SELECT s_suppkey, {words('s_name')} AS word FROM {t.supplier}) AS s ON s.word = c.word GROUP BY 1, 2"
 
 
 @both("set_pr_metrics")

@@ -1,12 +1,17 @@
-"""Streaming queries, held against batch SQL, and the folds, which have no SQL."""
+"""Streaming queries and file sources, held against SQL over the tables that they are fed with, and the folds, held against plain Python."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sqltext import SPARK
+import uuid
+
+from ..catalogs import cpt as P
+from ..catalogs import payers as Y
+from ..functions.sqltext import DUCK, SPARK
 from ..operators import folds
+from ..session import shared_dir
 from ..sources import files
 from ..streaming import streams
 from .both import Names, intake
@@ -70,3 +75,110 @@ def sink_fhir(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
     rows = people.select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("first"), F.col("c_name").alias("last"), F.lit(None).cast("string").alias("dob"), F.lit("95810").alias("cpt"), F.array(F.lit("G47.33")).alias("codes"))
     return files.fhir_rows(rows)
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+@query("src_ndjson", "SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS \"user\", event_type AS path, value > 60 AS accepted FROM events")
+def src_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback as JSON lines, written and read."""
+    path = _folder(spark, "ndjson")
+    rows = _table(spark, sf_dir, "events")
+    rows.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user"), F.col("event_type").alias("path"), (F.col("value") > 60).alias("accepted")).write.json(path)
+    return files.read_ndjson(spark, path).select("id", "user", "path", "accepted")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> str:
+    path = _folder(spark, "log")
+    rows = _table(spark, sf_dir, "events")
+    line = F.struct(F.when(F.col("event_type") == "purchase", "text_llm").otherwise(F.col("event_type")).alias("msg"), F.col("event_id").cast("string").alias("id"), F.col("value").alias("elapsed"))
+    rows.select(F.to_json(line).alias("value")).unionByName(spark.createDataFrame([("not json",)], "value string")).write.text(path)
+    return path
+
+
+LOG = "SELECT CAST(event_id AS VARCHAR) AS id, value AS elapsed FROM events WHERE event_type = 'purchase'"
+
+
+@query("src_log_jsonl", LOG)
+def src_log_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_log_jsonl(spark, _log(spark, sf_dir)).select("id", "elapsed")
+
+
+@query("stream_log_tail", LOG)
+def stream_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines, followed as a stream of text."""
+    line = F.from_json("value", "msg string, id string, elapsed double").alias("l")
+    lines = spark.readStream.text(_log(spark, sf_dir)).select(line).where(F.col("l.msg") == "text_llm").select("l.id", "l.elapsed")
+    return streams.once(lines, "append")
+
+
+DAYS = "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS intake_date, count(*) AS n, min(o_orderkey) AS first_id FROM orders GROUP BY 1"
+
+
+def _results(spark: SparkSession, sf_dir: str) -> str:
+    path = _folder(spark, "results")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("intake_date"))
+    files.write_results(rows.repartition("intake_date"), path)
+    return path
+
+
+@query("sink_result_json", DAYS)
+def sink_result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as JSON in a folder a day, read back by day."""
+    rows = spark.read.schema("id long, intake_date string").json(_results(spark, sf_dir))
+    return rows.groupBy("intake_date").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
+@query("src_results_dir", "SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS intake_date, o_orderkey AS id FROM orders WHERE CAST(o_orderdate AS DATE) >= (SELECT min(d) FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders ORDER BY d DESC LIMIT 20))")
+def src_results_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of the 20 newest days: by the folders' names, so no other folder is read."""
+    rows = spark.read.schema("id long, intake_date string").json(_results(spark, sf_dir))
+    days = [r[0] for r in _table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")).distinct().orderBy(F.col("d").desc()).limit(20).collect()]
+    return rows.where(F.col("intake_date").isin(days)).select("intake_date", "id")
+
+
+RULE_ROWS = [(code, k, p) for code, _, ps in P.CPT for k, p in enumerate(ps)]
+
+
+@query("src_rule_dir", f"SELECT category, code, ord, pattern FROM {DUCK.values('rules', 'category, code, ord, pattern', [('cpt', *r) for r in RULE_ROWS])}")
+def src_rule_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of rule files as one row a code and pattern."""
+    path = _folder(spark, "rules")
+    codes = [{"code": c, "description": d, "patterns": [{"pattern": p, "name": p, "score": 1.0} for p in ps]} for c, d, ps in P.CPT]
+    spark.createDataFrame([("cpt", codes)], files.RULES).coalesce(1).write.json(path)
+    return files.read_rule_dir(spark, path).select("category", "code", F.col("ord").cast("int").alias("ord"), "pattern")
+
+
+def _config(spark: SparkSession, name: str, schema: str, rows: list) -> DataFrame:
+    path = _folder(spark, name)
+    spark.createDataFrame([(rows,)], schema).coalesce(1).write.json(path)
+    return files.read_json_config(spark, path, schema)
+
+
+@query("src_json_config", f"SELECT code, description FROM {DUCK.values('codes', 'code, description', [(c, d) for c, d, _ in P.CPT])}")
+def src_json_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A settings file: one JSON document whose list becomes rows."""
+    schema = "codes array<struct<code string, description string>>"
+    return _config(spark, "config", schema, [(c, d) for c, d, _ in P.CPT]).select(F.explode("codes").alias("c")).select("c.code", "c.description")
+
+
+@query("src_kb_json", f"SELECT name, payer FROM {DUCK.values('routes', 'name, payer', Y.ROUTES)}")
+def src_kb_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A knowledge-base file: its table of routes as rows."""
+    schema = "routes array<struct<name string, payer string>>"
+    return _config(spark, "kb", schema, list(Y.ROUTES)).select(F.explode("routes").alias("r")).select("r.name", "r.payer")
+
+
+@query("src_pdf_upload", "SELECT sha256(concat('%PDF-1.4 ', coalesce(text, ''))) AS doc_id, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1")
+def src_pdf_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads by the digest of their bytes, and how many are alike; files that don't begin as a PDF are refused."""
+    docs = _table(spark, sf_dir, "documents")
+    body = F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("GIF89a ")).otherwise(F.lit("%PDF-1.4 ")), F.coalesce("text", F.lit(""))).cast("binary")
+    uploads = docs.select(F.col("doc_id").cast("string").alias("path"), body.alias("content"))
+    return files.accepted(uploads).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

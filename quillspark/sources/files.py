@@ -14,10 +14,15 @@ PROCESSED = "id string, processedAt string, pages int, intakeDate string, sugges
 RULES = "category string, codes array<struct<code string, description string, patterns array<struct<pattern string, name string, score double>>>>"
 
 
+def accepted(uploads: DataFrame) -> DataFrame:
+    """Uploads (path, content) that begin as a PDF, named by the digest of their bytes."""
+    pdf = uploads.where(F.substring("content", 1, 4) == F.lit("%PDF").cast("binary"))
+    return pdf.select(F.sha2("content", 256).alias("doc_id"), "path", F.octet_length("content").cast("long").alias("length"), "content")
+
+
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     """PDF files by their magic bytes, named by the digest of their content."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.where(F.substring("content", 1, 4) == F.lit("%PDF").cast("binary")).select(F.sha2("content", 256).alias("doc_id"), "path", "length", "content")
+    return accepted(spark.read.format("binaryFile").load(path))
 
 
 def read_ocr_json(spark: SparkSession, path: str) -> DataFrame:
