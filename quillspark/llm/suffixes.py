@@ -1,34 +1,39 @@
-"""Operator 8: removal of repeated byte strings with a logarithmic family of sorted suffix indexes.
+"""Operator 8: removal of repeated byte strings with a logarithmic family of suffix arrays.
 
 A byte goes if a string of LENGTH bytes that covers it starts at another place too, in the same or another document. Every
 start with LENGTH bytes ahead is judged, on texts as UTF-8, and matches never cross documents.
 
-Sampling. A suffix array over all bytes of a corpus would be many times its size, so suffixes are grouped by anchor: of
-the GRAM-byte strings within a start's LENGTH bytes the one of least hash, the leftmost if several. Equal strings have
-equal anchors at equal distance, so nothing is lost, and consecutive starts share an anchor, some 200 each. A run of starts
-is named by its anchor's hash (key) and by the digest of all bytes that its strings cover (tee).
-
-1. Keys that occur once are dropped: their strings occur once.
-2. Runs whose tee occurs twice or more under a key are repeated as a whole.
-3. Of keys with several tees, one text per tee is fetched (by document, so documents with copies are read once), dealt by
-   key, and put into the index family: each batch of suffixes is sorted, scanned by merging against all levels for equal
-   LENGTH-byte prefixes, and levels of equal rank are merged, so a suffix is moved a logarithmic number of times. Suffixes
-   are in order of a 64-bit fingerprint of the prefix, not of its bytes, as only equality of the whole prefix matters.
-4. A key of more than CONTEXTS_MAX tees (a passage shorter than LENGTH in very many surroundings) would be too much for a
+Sampling. A suffix array over all bytes of a corpus would be many times its size, so it holds the suffixes that begin at
+anchors: of the GRAM-byte strings within a start's LENGTH bytes the one of least hash, the leftmost if several. Equal strings
+have equal anchors at equal distance, so nothing is lost, and consecutive starts share an anchor, some 200 each. A run of
+starts is named by its anchor's hash (key) and by the digest of all bytes that its strings cover (tee), 128 bits together.
+
+1. The family. Documents come in batches. A batch's suffix array is a table of its anchored suffixes in order of their first
+   GRAM bytes (by these bytes' hash, which is a total order), suffixes that begin alike as one entry with their number and the
+   least and greatest tee. It is a level of rank 0. Two levels of equal rank are merged into one of the next, where entries
+   that begin alike meet, so a suffix is moved a logarithmic number of times. Levels are written to a folder, so a later run
+   can open them, scan a new batch against them, and add it.
+2. Entries of one suffix are dropped: their strings occur once.
+3. Runs whose tee occurs twice or more under a key are repeated as a whole.
+4. Of keys with several tees, one text per tee is fetched (by document, so documents with copies are read once), dealt by
+   key, and all their starts are put into sorted levels by distance from the anchor and fingerprint of their LENGTH bytes, of
+   which equal ones meet; with the key they make 128 bits.
+5. A key of more than CONTEXTS_MAX tees (a passage shorter than LENGTH in very many surroundings) would be too much for a
    task. Its suffixes are dealt by the fingerprint of their prefix instead, and counted with combination before the
    shuffle, to the same result.
-5. Each document's removed intervals are united, and the rest is digested.
+6. Each document's removed intervals are united, and the rest is digested.
 
-Counts by key are combined before the shuffle, and joins salt hot keys. Step 3 holds at most CONTEXTS_MAX contexts of a
-key in a task (about 600 bytes each, copies collapsed), and slices of SLICE distances of their fingerprints.
+Counts by key are combined before the shuffle, and joins salt hot keys. Step 4 holds BATCH contexts in a task, or those of one
+key if these are more, which are CONTEXTS_MAX at most (about 600 bytes each, copies collapsed).
 
-Null texts count as empty. Rows are told apart by a 64-bit hash of id and text, so repeated rows share their result and
-count as places of their own. Extra columns are left out.
+Null and empty texts count as empty. Rows are told apart by a 64-bit hash of id and text, so repeated rows share their result
+and count as places of their own. Long texts are read whole. Extra columns are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_salted, read, saved
+from .common import checkpoint_dir, join_salted, read, saved
 
 LENGTH, GRAM = 400, 32
 SPAN = LENGTH - GRAM + 1
 #: Bits of an anchor's place in a piece of a text, and the starts in a piece.
 PLACE, PIECE = 28, 1 << 22
 BATCH, SLICE = 4096, 48
+#: Batches that the query deals its documents into.
+BATCHES = 4
 #: Contexts of one key that may meet in a task; some 60 MB with their fingerprints.
 CONTEXTS_MAX = 50_000
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -216,14 +223,32 @@ def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 INTERVALS = "rid long, a int, b int"
 
 
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in order of key as tables of BATCH rows or more that part no key."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
+    for batch in batches:
+        keys = np.asarray(batch["key"], dtype=np.int64)
+        edges = [0, *(np.nonzero(np.diff(keys))[0] + 1).tolist(), len(keys)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if a == b:
+                continue
+            if keys[a] != last and size >= BATCH:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            held.append(batch.slice(a, b - a))
+            size, last = size + b - a, keys[a]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The repeated intervals of contexts dealt by key, of those that aren't repeated as a whole."""
-    tables = list(batches)
-    if not tables:
-        return
-    table = pa.Table.from_batches(tables)
-    if not table.num_rows:
-        return
+    """The repeated intervals of contexts that come by key, of those that aren't repeated as a whole."""
+    for table in by_key(batches):
+        yield intervals(table)
+
+
+def intervals(table: pa.Table) -> pa.RecordBatch:
     get = lambda c: table[c].combine_chunks().to_numpy(zero_copy_only=False)
     rid, first, whole, key = get("rid"), get("first").astype(np.int64), get("whole"), get("key")
     place = get("place").astype(np.int64) - first
@@ -251,7 +276,74 @@ def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     a = first[owner] + starts - cut[owner]
     b = first[owner] + ends - 1 - cut[owner] + LENGTH
     open_ = ~whole[owner].astype(bool)
-    yield pa.RecordBatch.from_arrays([pa.array(rid[owner][open_], pa.int64()), pa.array(a[open_], pa.int32()), pa.array(b[open_], pa.int32())], names=["rid", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(rid[owner][open_], pa.int64()), pa.array(a[open_], pa.int32()), pa.array(b[open_], pa.int32())], names=["rid", "a", "b"])
+
+
+LEVEL = "key long, n long, lo long, hi long"
+
+
+class Levels:
+    """The suffix arrays of a corpus that grows by batches: sorted tables in a folder, at most one of each rank.
+
+    A level is named by its number and rank. One that was written while a run died is left out, as Spark marks whole tables.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        """Opens the levels in a folder, or a new family there."""
+        self.spark, self.path, self.levels = spark, path.rstrip("/"), []
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if self.files.exists(folder):
+            names = sorted(x.getPath().getName() for x in self.files.listStatus(folder))
+            self.levels = [n for n in names if self.files.exists(self._place(f"{n}/_SUCCESS"))]
+        self.next = 1 + max((int(n.split("-")[1]) for n in self.levels), default=0)
+
+    def _place(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _write(self, entries: DataFrame, rank: int) -> str:
+        name = f"level-{self.next:08d}-{rank}"
+        self.next += 1
+        entries.sortWithinPartitions("key").write.parquet(f"{self.path}/{name}")
+        return name
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(LEVEL).parquet(f"{self.path}/{name}")
+
+    @staticmethod
+    def array(found: DataFrame) -> DataFrame:
+        """The suffix array of a batch of runs."""
+        return found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tee").alias("lo"), F.max("tee").alias("hi"))
+
+    @staticmethod
+    def merged(levels: list[DataFrame]) -> DataFrame:
+        both = levels[0]
+        for level in levels[1:]:
+            both = both.unionByName(level)
+        return both.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+    def scan(self, found: DataFrame) -> DataFrame:
+        """The keys of a new batch that it has twice or more, or that a level has: what long matches begin with."""
+        array = self.array(found)
+        keys = array.where("n > 1").select("key")
+        for name in self.levels:
+            keys = keys.unionByName(array.select("key").join(self.read(name).select("key").hint("merge"), "key"))
+        return keys.distinct()
+
+    def add(self, found: DataFrame) -> None:
+        """Adds a batch of runs as a level of rank 0, and merges levels of equal rank."""
+        self.levels.append(self._write(self.array(found), 0))
+        rank = lambda name: int(name.split("-")[2])
+        while len(self.levels) > 1 and rank(self.levels[-1]) == rank(self.levels[-2]):
+            old = self.levels[-2:]
+            self.levels[-2:] = [self._write(self.merged([self.read(n) for n in old]), rank(old[0]) + 1)]
+            for name in old:
+                self.files.delete(self._place(name), True)
+
+    def repeated(self) -> DataFrame:
+        """The entries of two suffixes or more, over all levels."""
+        whole = self.read(self.levels[0]) if len(self.levels) == 1 else self.merged([self.read(n) for n in self.levels])
+        return whole.where("n > 1")
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -280,9 +372,11 @@ def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of each document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("rid"))
-    found = docs.select("rid", "text").mapInArrow(runs, RUNS)
-    keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), (F.min("tee") != F.max("tee")).alias("mixed"))
-    keys = saved(keys.where("_n > 1"), "keys")
+    found = saved(docs.select("rid", "text").mapInArrow(runs, RUNS), "found")
+    family = Levels(docs.sparkSession, f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/suffixes-{uuid.uuid4().hex}")
+    for i in range(BATCHES):
+        family.add(found.where(F.pmod("rid", F.lit(BATCHES)) == i))
+    keys = saved(family.repeated().select("key", F.col("n").alias("_n"), (F.col("lo") != F.col("hi")).alias("mixed")), "keys")
     often = saved(join_salted(found, keys.select("key", "mixed"), keys.select("key", "_n"), ["key"], ["rid", "place"]), "runs")
     place = F.struct("rid", "place", "first", "last")
     tees = often.groupBy("key", "tee").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("at"), F.first("mixed").alias("mixed"))
@@ -299,9 +393,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     large = saved(mixed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CONTEXTS_MAX).select("key"), "large")
     if large.isEmpty():
-        edges = texts(mixed).repartition("key").mapInArrow(index, INTERVALS)
+        edges = texts(mixed).repartition("key").sortWithinPartitions("key").mapInArrow(index, INTERVALS)
     else:
-        edges = texts(mixed.join(large, "key", "left_anti")).repartition("key").mapInArrow(index, INTERVALS)
+        edges = texts(mixed.join(large, "key", "left_anti")).repartition("key").sortWithinPartitions("key").mapInArrow(index, INTERVALS)
         each = texts(mixed.join(large, "key", "left_semi")).mapInArrow(starts, STARTS)
         again = saved(each.groupBy("key", "print").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "again")
         met = join_salted(each.where("NOT whole"), again.drop("_n"), again, ["key", "print"], ["rid", "a"])

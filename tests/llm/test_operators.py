@@ -269,6 +269,31 @@ def test_suffixes(spark, folder, monkeypatch, most):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in run(spark, "op8_suffixes", folder)) == want
 
 
+def test_levels_of_suffix_arrays(spark, tmp_path):
+    r = random.Random(11)
+    passage = cases.words(90, r, 10**6)
+    batches = [[(100 * b + i, cases.words(120, r, 10**6) + (" " + passage if i == b else "")) for i in range(6)] for b in range(5)]
+    runs = [spark.createDataFrame(rows, "rid long, text string").mapInArrow(suffixes.runs, suffixes.RUNS).cache() for rows in batches]
+    seen = Counter()
+    for b, found in enumerate(runs):
+        family = suffixes.Levels(spark, str(tmp_path / "family"))  # opened anew, as by a later run
+        own = Counter(x.key for x in found.collect())
+        assert {x.key for x in family.scan(found).collect()} == {k for k, n in own.items() if n > 1 or seen[k]}
+        family.add(found)
+        seen += own
+        assert [int(n.split("-")[2]) for n in family.levels] == {1: [0], 2: [1], 3: [1, 0], 4: [2], 5: [2, 0]}[b + 1]
+    want = {k: n for k, n in seen.items() if n > 1}
+    assert want and {x.key: x.n for x in suffixes.Levels(spark, str(tmp_path / "family")).repeated().collect()} == want
+
+
+def test_contexts_are_parted_between_keys(monkeypatch):
+    monkeypatch.setattr(suffixes, "BATCH", 4)
+    keys = [1] * 3 + [2] * 5 + [3] + [4] * 2 + [5]
+    batches = [pa.record_batch({"key": pa.array(keys[i : i + 2], pa.int64())}) for i in range(0, len(keys), 2)]
+    got = [t["key"].to_pylist() for t in suffixes.by_key(iter(batches))]
+    assert sum(got, []) == keys and all(not set(a) & set(b) for a, b in zip(got, got[1:])) and len(got) == 2
+
+
 def test_salted_join_is_a_join(spark):
     r = random.Random(6)
     rows = [(0 if i % 3 else r.randrange(40), i) for i in range(3000)]
