@@ -1,20 +1,23 @@
 """Each operator on hostile rows, against plain Python where its result is exact, and on empty tables."""
 
 import random
+import re
 import sys
+import zlib
 from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
 import cases
 
-from quillspark.llm import common, components, decontam, langid, pseudolm, queries, secrets, simhash, suffixes, toxicity
+from quillspark.llm import common, components, decontam, langid, pii, pseudolm, quality, queries, secrets, simhash, suffixes, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -42,6 +45,89 @@ def test_quality(spark, folder):
     assert all(not (r.base_failed and r.kept) for r in run(spark, "op1_quality", folder))
 
 
+def robust(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and lower factor of a group's estimate, in plain numpy."""
+    floors = np.array(list(quality.FLOORS.values()))
+    n = x.shape[1]
+
+    def factor(c):
+        low = np.zeros((n, n))
+        for j in range(n):
+            low[j, j] = np.sqrt(max(c[j, j] - (low[j, :j] ** 2).sum(), floors[j] ** 2))
+            for i in range(j + 1, n):
+                low[i, j] = (c[i, j] - (low[i, :j] * low[j, :j]).sum()) / low[j, j]
+        return low
+
+    def grid(v, share, steps):
+        cells = np.sort(np.floor(v * steps))
+        return (cells[int(np.ceil(share * len(cells) - 1e-9)) - 1] + 1) / steps
+
+    def d2(m, low):
+        return (np.linalg.solve(low, (x - m).T) ** 2).sum(axis=0)
+
+    def step(m, low):
+        logd = np.log1p(d2(m, low))
+        near = x[np.floor(logd * 100) < np.round(grid(logd, quality.SUBSET, 100) * 100)]
+        return near.mean(axis=0), factor(quality.CONSISTENT * (near.T @ near / len(near) - np.outer(near.mean(axis=0), near.mean(axis=0))))
+
+    det = lambda low: 2 * np.log(np.diag(low)).sum()
+    m = np.array([grid(x[:, j], 0.5, 200) for j in range(n)])
+    d = np.maximum([grid(np.abs(x[:, j] - m[j]), 0.5, 200) * 1.4826 for j in range(n)], floors)
+    z = (x - m) / d
+    u = z / np.sqrt(np.maximum((z**2).sum(axis=1), 1e-12))[:, None]
+    y = np.tanh(z)
+    joint = y.T @ y / len(y) - np.outer(y.mean(axis=0), y.mean(axis=0))
+    spread = np.sqrt(np.maximum(np.outer(np.diag(joint), np.diag(joint)), 1e-12))
+    shapes = [np.eye(n), n * u.T @ u / len(u), np.where(np.eye(n, dtype=bool), 1.0, joint / spread)]
+    found = []
+    for shape in shapes:
+        e = (m, factor(shape * np.outer(d, d)))
+        for _ in range(quality.FIRST_STEPS):
+            e = step(*e)
+        found.append(e)
+    best = min(found, key=lambda e: det(e[1]))
+    for _ in range(quality.LAST_STEPS):
+        after = step(*best)
+        fall = det(best[1]) - det(after[1])
+        best = after if fall > 0 else best
+        if fall <= quality.FALL:
+            break
+    return best
+
+
+def test_quality_against_numpy(spark):
+    r = random.Random(21)
+    rows = []
+    for i in range(260):
+        text = cases.words(r.randrange(60, 400), r, 3000)
+        text = text.replace(" ", " #$% ") if i % 40 == 7 else text.replace("w", "W" * r.randrange(1, 9)) if i % 50 == 3 else text
+        rows.append((i, "en" if i % 10 else "de", "a" if i % 3 else "b", text + "\nx" * (i % 4)))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    got = {x.doc_id: x for x in quality.judge(common.saved(quality.statistics(docs), "t")).collect()}
+    x = {i: np.array([getattr(got[i], c) for c in quality.NAMES]) for i in got if not got[i].base_failed}
+    own, of_lang = Counter((got[i].lang, got[i].source) for i in x), Counter(got[i].lang for i in x)
+    name = lambda i: (got[i].lang, got[i].source) if own[got[i].lang, got[i].source] >= quality.MIN_GROUP else got[i].lang if of_lang[got[i].lang] >= quality.MIN_GROUP else "*"
+    rejected = 0
+    for g in {name(i) for i in x}:
+        part = [i for i in x if g == "*" or (isinstance(g, tuple) and (got[i].lang, got[i].source) == g) or got[i].lang == g]
+        m, low = robust(np.array([x[i] for i in part]))
+        for i in x:
+            if name(i) == g:
+                want = float((np.linalg.solve(low, x[i] - m) ** 2).sum())
+                assert abs(want - got[i].d2) <= 1e-6 * max(1, want) and got[i].kept == (want <= quality.CUTOFF)
+                rejected += not got[i].kept
+    assert rejected >= 5 and {name(i) for i in x} >= {"*"}
+
+
+def test_small_groups_are_judged(spark):
+    r = random.Random(2)
+    rows = [(i, "en", "big", cases.words(r.randrange(80, 300), r, 3000)) for i in range(150)]
+    rows += [(1000 + i, f"l{i}", f"s{i}", " ".join(f"#$%&{j}|<>" for j in range(90))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    kept = {x.doc_id for x in quality.judge(common.saved(quality.statistics(docs), "t")).where("kept").collect()}
+    assert not {i for i in kept if i >= 1000} and len(kept) >= 140
+
+
 def test_mixing(spark, folder):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
@@ -188,6 +274,35 @@ def test_weak_parts_need_company(spark):
     assert got == {1: [], 2: ["wid", "wsecret"], 3: [], 4: []}
 
 
+def test_links_against_all_pairs(spark):
+    r = random.Random(31)
+    token = {"wid": lambda: "AB" + "".join(r.choice("ABCDEFGH0123456789") for _ in range(r.randrange(14, 60))) + "1", "wsecret": lambda: "aB3" + "".join(r.choice("abcXYZ019+/_") for _ in range(r.randrange(17, 200))), "url": lambda: "https://h.example/" + "p" * r.randrange(1, 400), "none": lambda: "plain words here"}
+    texts = [" ".join(token[r.choice(list(token))]() + " ." * r.randrange(0, 160) for _ in range(r.randrange(1, 12))) for _ in range(60)]
+    got = {x.doc_id: {(s.kind, s.start, s.end) for s in x.found} for x in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    weak = {"wid": r"(?<![A-Za-z0-9])(?=[0-9]*[A-Z])(?=[A-Z]*[0-9])[A-Z0-9]{16,}(?![A-Za-z0-9])", "wsecret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}=*(?![A-Za-z0-9+/_=-])", "url": r"https://[^\x20\x09-\x0D\"'<>]{3,}"}
+    reported = 0
+    for i, text in enumerate(texts):
+        base = [(x.split(":")[0], *map(int, x.split(":")[1:])) for x in cases.secrets(text)]
+        parts = base + [(k, m.start(), m.end()) for k, p in weak.items() for m in re.finditer(p, text)]
+        near = lambda p, c: any(x is not p and secrets.CLASS[x[0]] == c and (0 <= 0 + p[1] - x[2] <= secrets.SCOPE or 0 <= x[1] - p[2] <= secrets.SCOPE or (x[1] < p[2] and p[1] < x[2])) for x in parts)
+        want = set()
+        for p in parts:
+            c = secrets.CLASS[p[0]]
+            if p[0] in secrets.BASE or (c == "id" and near(p, "secret")) or (c == "secret" and (near(p, "id") or near(p, "endpoint"))) or (c == "endpoint" and near(p, "id") and near(p, "secret")):
+                want.add(p)
+        assert got[i] == want
+        reported += len(want - set(base))
+    assert reported > 50
+
+
+def test_very_many_matches(spark):
+    texts = [(1, "é".join(f" u{i}@example{i % 7}.org" for i in range(20_000))), (2, " ".join(f"token={i:016x}" for i in range(20_000)))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    pii_found = {x.doc_id: x.found for x in pii.scan(docs).collect()}
+    assert [(s.start, s.end) for s in pii_found[1]] == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", texts[0][1])]
+    assert len({x.doc_id: x.found for x in secrets.scan(docs).collect()}[2]) == 40_000
+
+
 def test_pseudo_likelihood(spark, folder):
     rows = run(spark, "op7_pseudolm", folder)
     assert len(rows) == len(cases.docs(folder))
@@ -324,6 +439,30 @@ def test_language(spark, folder):
     assert all((r.lang_pred == "und") == (r.doc_id in none) for r in rows if r.doc_id is not None)
 
 
+def test_held_out_accuracy(spark, tmp_path):
+    """Languages and toxic words that only the learning fold can teach, on the fold that it hasn't seen."""
+    r = random.Random(17)
+    letters = {"xx": "abcde", "yy": "defgh", "zz": "hijka"}
+    word = lambda a: "".join(r.choice(a) for _ in range(r.randrange(2, 8)))
+    bad = [word("opq") for _ in range(20)]
+    rows, labels = [], []
+    for i in range(420):
+        lang, toxic = ("xx", "yy", "zz")[i % 3], i % 4 == 0
+        w = [word(letters[lang]) for _ in range(r.randrange(40, 120))]
+        for _ in range(8 * toxic):
+            w.insert(r.randrange(len(w)), r.choice(bad))
+        rows.append({"doc_id": i, "text": " ".join(w), "lang": lang, "source": "s", "n_chars": 1})
+        labels.append({"doc_id": i, "quality": 1, "toxic": int(toxic)})
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "documents.parquet")
+    pq.write_table(pa.Table.from_pylist(labels), tmp_path / "labels.parquet")
+    out = {x.doc_id: x for x in run(spark, "op9_langid", str(tmp_path))}
+    held = [i for i in range(420) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert sorted(i for i in out if out[i].held_out) == held
+    assert sum(out[i].lang_pred == rows[i]["lang"] for i in held) >= 0.97 * len(held)
+    out = {x.doc_id: x for x in run(spark, "op4_toxicity", str(tmp_path))}
+    assert sum(out[i].predicted == labels[i]["toxic"] for i in held) >= 0.97 * len(held)
+
+
 def test_language_gradients():
     net = langid.Network(3)
     x = np.random.default_rng(1).integers(97, 110, (6, 5)).astype(np.uint8)
