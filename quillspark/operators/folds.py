@@ -1,4 +1,4 @@
-"""The four order-dependent folds: near-duplicate lines, member-id merging, box suppression and reading order.
+"""The order-dependent folds: near-duplicate lines, member-id merging and box suppression.
 
 Near-duplicate lines are a fold of built-in functions. The others go through applyInPandas by document or page, each of
 which is one small group.
@@ -6,13 +6,11 @@ which is one small group.
 
 from __future__ import annotations
 
-from itertools import product
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SIMILAR, MAX_STRINGS = 0.85, 4096
+SIMILAR = 0.85
 
 
 def is_similar(a: Column, b: Column) -> Column:
@@ -53,17 +51,40 @@ def distance(a: str, b: str) -> int | None:
 
 
 def consensus(members: list[tuple[str, float]]) -> str:
-    """The string over the members' characters at each place that is nearest to all: least largest distance, then least weighted sum."""
+    """The string over the members' characters at each place that is nearest to all: least largest distance, then least
+    weighted sum, then the first in order.
+
+    Only places where members differ are searched, depth first. A branch ends once its distances so far can't give a better
+    string, so the search is whole at any number of places; its first descent takes each place's heaviest character.
+    """
     size = len(members[0][0])
-    same = [(v, s) for v, s in members if len(v) == size]
-    options = [sorted({v[i] for v, _ in same}) for i in range(size)]
-    n = 1
-    for o in options:
-        n *= len(o)
-    if n > MAX_STRINGS:
-        return same[0][0]
-    cost = lambda c: (max(sum(x != y for x, y in zip(c, v, strict=True)) for v, _ in same), sum(sum(x != y for x, y in zip(c, v, strict=True)) * (s + 1) for v, s in same), c)
-    return min(("".join(p) for p in product(*options)), key=cost)
+    same = [(v, s + 1) for v, s in members if len(v) == size]
+    open_ = [i for i in range(size) if len({v[i] for v, _ in same}) > 1]
+    cost = lambda c, i: tuple(int(v[i] != c) for v, _ in same)
+    weighed = lambda d: sum(x * w for x, (_, w) in zip(d, same, strict=True))
+    choices = [sorted({v[i] for v, _ in same}, key=lambda c, i=i: (weighed(cost(c, i)), c)) for i in open_]
+    # The least weighted sum that the places from k on can add.
+    rest = [0.0] * (len(open_) + 1)
+    for k in range(len(open_) - 1, -1, -1):
+        rest[k] = rest[k + 1] + min(weighed(cost(c, open_[k])) for c in choices[k])
+    best: list = [None]
+
+    def search(k: int, apart: tuple[int, ...], chosen: tuple[str, ...]) -> None:
+        top, total = max(apart, default=0), weighed(apart)
+        if best[0] is not None and (top, total + rest[k]) > best[0][:2]:
+            return
+        if k == len(open_):
+            whole = list(members[0][0])
+            for i, c in zip(open_, chosen, strict=True):
+                whole[i] = c
+            found = (top, total, "".join(whole))
+            best[0] = found if best[0] is None else min(best[0], found)
+            return
+        for c in choices[k]:
+            search(k + 1, tuple(a + b for a, b in zip(apart, cost(c, open_[k]), strict=True)), (*chosen, c))
+
+    search(0, (0,) * len(same), ())
+    return best[0][2]
 
 
 def _merge(group: pd.DataFrame) -> pd.DataFrame:
@@ -106,24 +127,3 @@ BOXES = "doc_id long, page int, box int, x double, y double, w double, h double,
 def suppress_boxes(boxes: DataFrame) -> DataFrame:
     """Of boxes of a page that overlap by more than 0.6 the one of higher confidence."""
     return boxes.select(*[c.split()[0] for c in BOXES.split(", ")]).groupBy("doc_id", "page").applyInPandas(_suppress, BOXES)
-
-
-def _order(group: pd.DataFrame) -> pd.DataFrame:
-    rows = group.assign(xc=group["x"] + group["w"] / 2)
-    n, column = len(rows), pd.Series(0, index=rows.index)
-    if n >= 10:
-        s = rows.sort_values(["xc", "box"])
-        gaps = s["xc"].diff().iloc[1:].to_numpy()
-        middle = range(n // 3, max(n // 3 + 1, 2 * n // 3))
-        at = max(middle, key=lambda i: gaps[i - 1] if i else 0)
-        others = sorted((g for i, g in enumerate(gaps, 1) if i != at), reverse=True)[:5]
-        if others and gaps[at - 1] > 2.5 * sum(others) / len(others):
-            column[s.index[at:]] = 1
-    rows = rows.assign(col=column).sort_values(["col", "y", "x", "box"])
-    return rows.assign(place=range(n))[["doc_id", "page", "box", "col", "place"]]
-
-
-def reading_order(boxes: DataFrame) -> DataFrame:
-    """Boxes of a page by column, top and left; two columns where the largest gap of the middle third stands out."""
-    rows = boxes.select(*[c.split()[0] for c in BOXES.split(", ")])
-    return rows.groupBy("doc_id", "page").applyInPandas(_order, "doc_id long, page int, box int, col int, place int")

@@ -579,3 +579,34 @@ def sink_ndjson_rotate(q, t):
 def sink_bulk_export(q, t):
     """Results, newest first, with their place in the export."""
     return f"SELECT o_orderkey, place FROM {ranked(f'SELECT o_orderkey, o_orderdate FROM {t.orders}', ['o_orderdate', 'o_orderkey'], ['o_orderdate'], descending=True)}"
+
+
+@both("sink_fhir")
+def sink_fhir(q, t):
+    """One row a resource of a document's bundle: the patient, the provider, the payer, the coverage, the order, and each diagnosis."""
+    text = "STRING" if q.name == "spark" else "VARCHAR"
+    uid = lambda kind: f"substring({q.sha256(f'concat({kind}, chr(58), CAST(doc_id AS {text}))')}, 1, 32)"
+    provider = f"SELECT doc_id AS vdoc, name AS provider FROM ({detect_provider(q, t)}) AS v0"
+    number = f"SELECT doc_id AS ndoc, npi FROM ({provider_npi(q, t)}) AS v1"
+    dialed = f"SELECT doc_id AS pdoc, digits AS phone FROM {phone(q, t)}"
+    rows = f"SELECT facts.*, provider, npi, phone FROM {facts(q, t)} LEFT JOIN ({provider}) AS v ON vdoc = facts.doc_id LEFT JOIN ({number}) AS n ON ndoc = facts.doc_id LEFT JOIN ({dialed}) AS p ON pdoc = facts.doc_id"
+    kinds = q.some("'Patient'", "CASE WHEN provider IS NOT NULL THEN 'Practitioner' END", "CASE WHEN carrier IS NOT NULL THEN 'Organization' END", "CASE WHEN carrier IS NOT NULL THEN 'Coverage' END", "CASE WHEN cpt IS NOT NULL THEN 'ServiceRequest' END")
+    each = f"SELECT *, {q.explode(kinds)} AS kind FROM ({rows}) AS r"
+    date = "CASE WHEN dob IS NOT NULL THEN concat(substring(dob, 7, 4), '-', substring(dob, 1, 2), '-', substring(dob, 4, 2)) END"
+    name = "CASE kind WHEN 'Patient' THEN last_name WHEN 'Practitioner' THEN provider WHEN 'Organization' THEN carrier END"
+    patient = uid("'Patient'")
+    subject = f"CASE WHEN kind IN ('Coverage', 'ServiceRequest') THEN {patient} END"
+    identifier = "CASE kind WHEN 'Coverage' THEN member_id WHEN 'Practitioner' THEN npi END"
+    bundle = f"SELECT doc_id, kind AS resource_type, {uid('kind')} AS id, {name} AS name, CASE WHEN kind = 'Patient' THEN first_name END AS given, CASE WHEN kind = 'Patient' THEN {date} END AS birth_date, CASE WHEN kind = 'Patient' THEN phone END AS telecom, {identifier} AS identifier, CASE WHEN kind = 'ServiceRequest' THEN cpt END AS code, {subject} AS subject FROM ({each}) AS e"
+    none = ", ".join(f"CAST(NULL AS {text})" for _ in range(5))
+    return f"{bundle} UNION ALL SELECT doc_id, 'Condition', {uid('icd')}, {none}, icd, {patient} FROM {R.ranked_icds(q, t)}"
+
+
+@both("sink_pdf")
+def sink_pdf(q, t):
+    """The rows of a report's page: section, label and value, in the order in which they are set."""
+    dash = lambda c: f"coalesce({c}, '-')"
+    lines = [("Patient", "Name", f"concat({dash('last_name')}, ', ', {dash('first_name')})"), ("Patient", "Birth date", dash("dob")), ("Insurance", "Carrier", dash("carrier")), ("Insurance", "Member id", dash("member_id")), ("Procedure", "Code", dash("cpt")), ("Clinical", "Diagnosis", dash("primary_dx")), ("Review", "Confidence", "confidence")]
+    entries = q.array(*[f"concat('{i}|{a}|{b}|', {c})" for i, (a, b, c) in enumerate(lines)])
+    part = lambda p: q.extract("entry", p, 1)
+    return f"SELECT doc_id, CAST({part('^([0-9]+)[|]')} AS INT) AS ord, {part('^[0-9]+[|]([^|]*)[|]')} AS section, {part('^[0-9]+[|][^|]*[|]([^|]*)[|]')} AS label, {part('^[0-9]+[|][^|]*[|][^|]*[|](.*)$')} AS value FROM (SELECT doc_id, {q.explode(entries)} AS entry FROM {decided(q, t)}) AS x"

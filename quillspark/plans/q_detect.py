@@ -246,12 +246,13 @@ def rule_scores(q, t) -> str:
     labelled = f"SELECT DISTINCT doc_id AS ldoc, value AS lvalue FROM ({found}) AS f2 JOIN {labels} ON own = rule AND {q.contains('label', 'word')}"
     generic = f"10 + CASE WHEN {q.like('value', '[A-Z]')} AND {q.like('value', '[0-9]')} THEN 8 ELSE 0 END + CASE WHEN length(value) BETWEEN 8 AND 12 THEN 5 ELSE 0 END"
     ruled = f"coalesce(points, 0) + CASE WHEN ldoc IS NOT NULL THEN 20 ELSE 0 END - CASE WHEN length(value) NOT BETWEEN low AND high THEN 20 ELSE 0 END - CASE WHEN mixed = 1 AND NOT ({q.like('value', '[A-Z]')} AND {q.like('value', '[0-9]')}) THEN 15 ELSE 0 END - CASE WHEN letters = 1 AND {q.like('value', '^[0-9]+$')} THEN 10 ELSE 0 END - CASE WHEN coalesce({q.like_column('value', 'excluded')}, false) THEN 40 ELSE 0 END"
-    return f"(SELECT doc_id, value, score, n, source, label, carrier, CASE WHEN rule IS NOT NULL THEN {ruled} ELSE {generic} END AS rule_score FROM ({found}) AS f LEFT JOIN {rules} ON rules.own = rule LEFT JOIN ({matched}) AS p ON pdoc = doc_id AND pvalue = value LEFT JOIN ({labelled}) AS l ON ldoc = doc_id AND lvalue = value) AS rule_scores"
+    return f"(SELECT doc_id, value, score, n, source, label, carrier, CASE WHEN rule IS NOT NULL THEN {ruled} ELSE {generic} END AS rule_score, CASE WHEN rule IS NOT NULL AND ldoc IS NOT NULL THEN 20 ELSE 0 END AS label_points FROM ({found}) AS f LEFT JOIN {rules} ON rules.own = rule LEFT JOIN ({matched}) AS p ON pdoc = doc_id AND pvalue = value LEFT JOIN ({labelled}) AS l ON ldoc = doc_id AND lvalue = value) AS rule_scores"
 
 
 def member_ranks(q, t) -> str:
+    """Candidates by the worth of the first rule that found them and their carrier's rule; the label isn't handed to that rule here."""
     base = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in MEMBER_SOURCES.items()) + " ELSE 10 END"
-    total = f"{base} + CASE WHEN carrier IS NOT NULL THEN greatest(0, rule_score) ELSE 0 END + CASE WHEN {T.likely_not_member_id(q, 'value')} THEN -40 ELSE 0 END + CASE WHEN {q.like('value', '[A-Z]')} AND {q.like('value', '[0-9]')} THEN 8 ELSE 0 END + CASE WHEN length(value) BETWEEN 8 AND 12 THEN 5 WHEN length(value) BETWEEN 13 AND 15 THEN 2 ELSE 0 END - CASE WHEN n > 3 THEN 3 * (n - 3) ELSE 0 END"
+    total = f"{base} + CASE WHEN carrier IS NOT NULL THEN greatest(0, rule_score - label_points) ELSE 0 END + CASE WHEN {T.likely_not_member_id(q, 'value')} THEN -40 ELSE 0 END + CASE WHEN {q.like('value', '[A-Z]')} AND {q.like('value', '[0-9]')} THEN 8 ELSE 0 END + CASE WHEN length(value) BETWEEN 8 AND 12 THEN 5 WHEN length(value) BETWEEN 13 AND 15 THEN 2 ELSE 0 END - CASE WHEN n > 3 THEN 3 * (n - 3) ELSE 0 END"
     return f"(SELECT doc_id, value, total, place FROM (SELECT doc_id, value, {total} AS total, row_number() OVER (PARTITION BY doc_id ORDER BY {total} DESC, n DESC, length(value) DESC, value) AS place FROM {rule_scores(q, t)}) AS x) AS member_ranks"
 
 

@@ -369,3 +369,23 @@ def set_pr_metrics(q, t):
     """Precision, recall and F1 of toxic against low quality."""
     return f"""SELECT tp, fp, fn, CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / (tp + fp) ELSE 0 END AS precision_of, CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0 END AS recall_of,
       CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * CAST(tp AS DOUBLE) / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM (SELECT {count_if('toxic = 1 AND quality = 1')} AS tp, {count_if('toxic = 1 AND quality = 0')} AS fp, {count_if('toxic = 0 AND quality = 1')} AS fn FROM {t.labels}) AS a"""
+
+
+def boxes(q, t) -> str:
+    """Order lines as boxes of a page: place by quantity and price, height by line number."""
+    return f"SELECT l_orderkey AS doc_id, 1 AS page, l_linenumber AS box, l_quantity * 4 AS x, CAST(l_linenumber % 3 AS DOUBLE) AS y, CAST(20 AS DOUBLE) AS w FROM {t.lineitem} UNION ALL SELECT o_custkey + 10000000, 1, o_orderkey, o_totalprice / 1000, CAST(o_orderkey % 7 AS DOUBLE), CAST(20 AS DOUBLE) FROM {t.orders}"
+
+
+@both("win_gap_split")
+def win_gap_split(q, t):
+    """Boxes of a page in reading order: by column, top and left; two columns where the largest gap between the centres of the
+    middle third is more than 2.5 times the mean of the five largest others, on pages of ten boxes or more."""
+    page = "PARTITION BY doc_id, page"
+    centred = f"SELECT *, x + w / 2 AS xc FROM ({boxes(q, t)}) AS b0"
+    placed = f"SELECT *, row_number() OVER ({page} ORDER BY xc, box) - 1 AS i, xc - lag(xc) OVER ({page} ORDER BY xc, box) AS gap, count(*) OVER ({page}) AS n FROM ({centred}) AS b1"
+    middle = "i >= 1 AND i >= floor(n / 3.0) AND i < greatest(floor(n / 3.0) + 1, floor(2 * n / 3.0))"
+    best = f"SELECT *, row_number() OVER ({page} ORDER BY CASE WHEN {middle} THEN 0 ELSE 1 END, gap DESC, i) AS r FROM ({placed}) AS b2"
+    others = f"SELECT *, max(CASE WHEN r = 1 THEN i END) OVER ({page}) AS split, row_number() OVER ({page} ORDER BY CASE WHEN r = 1 OR i = 0 THEN 1 ELSE 0 END, gap DESC, i) AS o FROM ({best}) AS b3"
+    judged = f"SELECT *, max(CASE WHEN r = 1 THEN gap END) OVER ({page}) > 2.5 * avg(CASE WHEN o <= 5 AND r > 1 AND i > 0 THEN gap END) OVER ({page}) AS two FROM ({others}) AS b4"
+    column = f"SELECT *, CASE WHEN n >= 10 AND coalesce(two, false) AND i >= split THEN 1 ELSE 0 END AS col FROM ({judged}) AS b5"
+    return f"SELECT doc_id, page, box, col, row_number() OVER ({page} ORDER BY col, y, x, box) - 1 AS place FROM ({column}) AS b6"

@@ -65,18 +65,6 @@ def join_iou_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.suppress_boxes(_boxes(spark, sf_dir))
 
 
-@query("win_gap_split")
-def win_gap_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.reading_order(_boxes(spark, sf_dir))
-
-
-@query("sink_fhir")
-def sink_fhir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people = spark.read.parquet(f"{sf_dir.rstrip('/')}/customer.parquet")
-    rows = people.select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("first"), F.col("c_name").alias("last"), F.lit(None).cast("string").alias("dob"), F.lit("95810").alias("cpt"), F.array(F.lit("G47.33")).alias("codes"))
-    return files.fhir_rows(rows)
-
-
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -1,10 +1,16 @@
 """Folds against plain Python, and what must hold for any input."""
 
 import random
+from itertools import product
 
+import pytest
 from pyspark.sql import functions as F
 
+from quillspark.catalogs import carriers, conditions, cpt, dme, icd, member_ids, payers, symptoms
+from quillspark.functions import text
+from quillspark.functions.sqltext import SPARK
 from quillspark.operators import folds
+from quillspark.plans import suite
 from quillspark.sources import files
 
 
@@ -40,13 +46,34 @@ def test_boxes(spark):
             if a.doc_id == b.doc_id and a.box < b.box:
                 assert folds.iou((a.x, a.y, a.w, a.h), (b.x, b.y, b.w, b.h)) <= 0.6
     assert len(folds.suppress_boxes(spark.createDataFrame(kept, folds.BOXES)).collect()) == len(kept)
-    order = folds.reading_order(df).collect()
-    assert sorted(o.place for o in order if o.doc_id == 0) == list(range(30))
 
 
-def test_two_columns(spark):
-    rows = [(1, 1, i, 0.0 if i % 2 else 300.0, float(i), 50.0, 5.0, 1.0, "x") for i in range(12)]
-    got = {o.box: o.col for o in folds.reading_order(spark.createDataFrame(rows, folds.BOXES)).collect()}
+def test_consensus_is_the_best_of_all_strings():
+    r = random.Random(9)
+    for _ in range(60):
+        size = r.randrange(3, 7)
+        base = [r.choice("AB01") for _ in range(size)]
+        members = [("".join(c if r.random() < 0.7 else r.choice("AB01X") for c in base), float(r.randrange(5))) for _ in range(r.randrange(1, 6))]
+        options = [sorted({v[i] for v, _ in members}) for i in range(size)]
+        far = lambda c: [sum(x != y for x, y in zip(c, v, strict=True)) for v, _ in members]  # noqa: B023, E731
+        want = min(("".join(p) for p in product(*options)), key=lambda c: (max(far(c)), sum(d * (s + 1) for d, (_, s) in zip(far(c), members, strict=True)), c))  # noqa: B023
+        assert folds.consensus(members) == want
+
+
+def test_consensus_of_very_many_places():
+    r = random.Random(1)
+    base = "".join(r.choice("ABCDEFGH01234567") for _ in range(20))
+    near = [("".join("9" if i in (2 * k, 2 * k + 1) else c for i, c in enumerate(base)), 3.0) for k in range(10)]
+    assert folds.consensus([(base, 9.0), *near]) == base
+
+
+def test_columns_of_a_page(spark, tmp_path):
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    write("lineitem", [(1, i, 0.0 if i % 2 else 75.0) for i in range(12)], "l_orderkey long, l_linenumber int, l_quantity double")
+    write("orders", [], "o_custkey long, o_orderkey long, o_totalprice double")
+    got = {r.box: r.col for r in suite.queries()["win_gap_split"](spark, str(tmp_path)).collect()}
     assert all(got[i] == (0 if i % 2 else 1) for i in range(12))
 
 
@@ -73,3 +100,61 @@ def test_sources(spark, tmp_path):
     (tmp_path / "ocr.json").write_text(pages)
     boxes = files.read_ocr_json(spark, str(tmp_path / "ocr.json")).first().boxes
     assert [(b.text, b.conf) for b in boxes] == [("a", 1.0)]
+
+
+def test_catalogs_are_whole():
+    assert [len(x) for x in (carriers.CARRIERS, carriers.PREAUTH, icd.ICD, symptoms.SYMPTOMS, dme.VENDORS, payers.ROUTES, payers.RATES, member_ids.RULES, member_ids.PATTERNS, conditions.CONDITIONS, cpt.CPT)] == [91, 8, 172, 17, 14, 88, 34, 93, 122, 75, 8]
+    assert sum(len(r) for _, _, r in payers.RATES) == 112
+
+
+TEXTS = {
+    1: "Insurance: Aetna Member ID: W123456789 Group: GRP1\nOther Insurance: Medicare Member ID: Z99999123 Group: MGRP",
+    2: "Plan: Prominence HMO\nOrder 95811 cpap titration, failed CPAP. Diagnosis: G47.37 and G47.33, I10",
+    3: "Self pay, uninsured. APRIA E0601 A7034 supplies, mask leak.\nDenies snoring. Patient reports gasping for air.",
+    4: "Order pediatric sleep study 95782\nDOB: 03/04/2020\n95810 mentioned",
+    5: "Nothing to see here",
+}
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("texts"))
+    spark.createDataFrame([(k, v, "en", "s", len(v)) for k, v in TEXTS.items()], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def rows(spark, folder, name):
+    return [r for r in suite.queries()[name](spark, folder).collect() if r.doc_id > 0]
+
+
+def test_detectors_on_texts_that_say_what_to_find(spark, folder):
+    """Expected rows worked out by hand from the rules, not from another engine."""
+    got = {r.doc_id: (r.carrier, r.status, r.why) for r in rows(spark, folder, "detect_carrier")}
+    assert got[1] == ("Aetna", "accepted", "carrier_detect") and got[2][:2] == ("Prominence", "not_accepted") and 5 not in got
+    policy = {r.doc_id: r for r in rows(spark, folder, "carrier_policy")}
+    assert policy[2].days == 21 and policy[2].actions == "insurance_contract_expiring,insurance_auto_flag:prominence"
+    codes = {r.doc_id: r for r in rows(spark, folder, "detect_cpt")}
+    assert codes[2].cpt == "95811" and codes[2].titration and codes[4].cpt == "95782" and 5 not in codes
+    order = sorted((r.place, r.icd) for r in rows(spark, folder, "icd_priority") if r.doc_id == 2)
+    assert order == [(1, "G47.33"), (2, "G47.37"), (3, "I10")]
+    second = {r.doc_id: (r.primary_carrier, r.secondary_carrier, r.member_id) for r in rows(spark, folder, "detect_secondary_insurance")}
+    assert second == {1: ("Aetna", "Medicare", "Z99999123")}
+    equipment = {r.doc_id: r for r in rows(spark, folder, "detect_dme")}
+    assert set(equipment) == {3} and equipment[3].vendor == "APRIA" and equipment[3].codes == "E0601,A7034" and equipment[3].mask_leak
+    told = {(r.label, r.status) for r in rows(spark, folder, "detect_symptoms") if r.doc_id == 3}
+    assert {("snoring", "denied"), ("witnessed_apnea", "confirmed")} <= told
+    best = {r.doc_id: r.value for r in rows(spark, folder, "member_id_rank") if r.place == 1}
+    # The first is found by the window below an insurance word before its label is, which is worth less than a label.
+    total = {r.value: r.total for r in rows(spark, folder, "member_id_rank") if r.doc_id == 1}
+    assert best[1] == "Z99999123" and total == {"W123456789": 35 + 25 + 8 + 5, "Z99999123": 45 + 22 + 8 + 5}
+    special = {r.doc_id: (r.pediatric, r.dme) for r in rows(spark, folder, "flag_special")}
+    assert special[4][0] == "age" and special[3] == (None, True) and special[5] == (None, False)
+    assert {r.doc_id for r in rows(spark, folder, "flag_policy_actions") if r.action == "pediatric_protocol_review"} == {4}
+    notes = [r.tag for r in sorted(rows(spark, folder, "auth_notes"), key=lambda r: r.ord) if r.doc_id == 1]
+    assert notes == ["missing_chart_notes", "carrier_aetna"]
+
+
+def test_title_case(spark):
+    want = {"MARY-JANE o'neil": "Mary-Jane O'Neil", " de la  CRUZ": "De La  Cruz", "élodie d'arc": "Élodie D'Arc"}
+    for raw, name in want.items():
+        assert spark.createDataFrame([(raw,)], "x string").selectExpr(text.title_case(SPARK, "x")).first()[0] == name
