@@ -35,6 +35,8 @@ from .common import ASCII_SPACE, DOCUMENT_COLUMNS, cut, read, saved, words
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 MIN_WORDS, MIN_GROUP, SUBSET = 50, 60, 0.75
+#: Words up to which a window's hash and place share 64 bits; beyond that they are sorted as pairs.
+PACKED = 1 << 16
 #: Concentration steps of each start, and of the best one after these; a fall of the log-determinant by less than FALL ends them.
 FIRST_STEPS, LAST_STEPS, FALL = 2, 6, 0.01
 #: The chi-squared quantile of 6 degrees of freedom that one in a million exceeds.
@@ -65,12 +67,17 @@ def statistics(docs: DataFrame) -> DataFrame:
     # A window is its hash above, its place below, so that sorting puts equal windows side by side. Most texts repeat none.
     packed = F.transform("_h", lambda h, i: F.call_function("shiftleft", h, F.col("_bits")).bitwiseOR(i.cast("long")))
     some = F.size(F.array_distinct("_h")) < F.size("_h")
-    rows = rows.withColumn("_p", F.when(some, F.sort_array(packed)).otherwise(F.array().cast("array<long>")))
+    short = F.col("n_words") <= PACKED
+    rows = rows.withColumn("_p", F.when(some & short, F.sort_array(packed)).otherwise(F.array().cast("array<long>")))
+    paired = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("i"))))
+    rows = rows.withColumn("_q", F.when(some & ~short, paired).otherwise(F.array().cast("array<struct<h:bigint,i:bigint>>")))
     key = lambda p: F.call_function("shiftright", p, F.col("_bits"))
     at = lambda i: key(F.get(F.col("_p"), i))
     twice = F.filter(F.col("_p"), lambda p, i: F.coalesce(key(p) == at(i + 1), F.lit(False)) | F.coalesce(key(p) == at(i - 1), F.lit(False)))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1
-    rows = rows.withColumn("_t", F.sort_array(F.transform(twice, lambda p: p.bitwiseAND(mask))))
+    of = lambda i: F.get(F.col("_q"), i)["h"]
+    pairs = F.filter(F.col("_q"), lambda q, i: F.coalesce(q["h"] == of(i + 1), F.lit(False)) | F.coalesce(q["h"] == of(i - 1), F.lit(False)))
+    rows = rows.withColumn("_t", F.sort_array(F.concat(F.transform(twice, lambda p: p.bitwiseAND(mask)), F.transform(pairs, lambda q: q["i"]))))
     covered = F.aggregate(
         F.col("_t"),
         F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")),
@@ -88,7 +95,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumns({"n_lines": F.size("_lines").cast("long"), "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")})
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return rows.drop("_w", "_bits", "_h", "_p", "_t", "_lines")
+    return rows.drop("_w", "_bits", "_h", "_p", "_q", "_t", "_lines")
 
 
 def transformed(rows: DataFrame) -> DataFrame:
