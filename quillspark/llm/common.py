@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 from collections.abc import Callable
 
@@ -81,9 +83,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders that saved() wrote in this process; they go when it ends.
+WRITTEN: dict[str, SparkSession] = {}
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: compressed and pruned by column, unlike a checkpoint."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN[path] = spark
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(path: str) -> None:
+    """Deletes a folder that saved() wrote, which nothing reads any more."""
+    jvm = WRITTEN.pop(path)._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+
+
+@atexit.register
+def _forget_all() -> None:
+    for path in list(WRITTEN):
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            forget(path)

@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, read
+from .common import n_words, read, saved
 
 CAP, WEIGHTS, SEED = 3, 3, "mix-1"
 #: Hexadecimal digits of a digest prefix: each holds 1/4096 of a source's documents.
 PREFIX = 3
+#: Rows of sources and prefixes, some 100 bytes each, that may be broadcast.
+PARTS = 200_000
 
 
 def digest(doc_id: Column) -> Column:
@@ -55,11 +57,16 @@ def same(a: Column, b: Column) -> Column:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs with size, source_size, target and taken. Columns of those names are replaced."""
+    """docs with size, source_size, target and taken. Columns of those names are replaced.
+
+    The table of parts, one row a source and prefix, is written once, and broadcast if it has PARTS rows or fewer; so texts are
+    read for their sizes and once more to be handed on, and are not shuffled, but for those of the edges.
+    """
     new = ("size", "source_size", "target", "taken")
     docs = docs.drop(*new)
-    sized = docs.withColumns({"size": n_words(F.col("text")), "_digest": digest(F.col("doc_id"))}).withColumn("_prefix", F.substring("_digest", 1, PREFIX))
-    groups = docs.select("source", n_words(F.col("text")).alias("size"), F.substring(digest(F.col("doc_id")), 1, PREFIX).alias("_prefix")).groupBy("source", "_prefix").agg(F.sum("size").alias("_words"))
+    prefix = F.substring(digest(F.col("doc_id")), 1, PREFIX)
+    groups = docs.select("source", n_words(F.col("text")).alias("size"), prefix.alias("_prefix")).groupBy("source", "_prefix").agg(F.sum("size").alias("_words"))
+    groups = saved(groups, "mix-groups")
     rates = targets(groups.groupBy("source").agg(F.sum("_words").alias("source_size")))
     rates = rates.withColumn("_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rates = rates.withColumn("_rest", F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long"))
@@ -68,13 +75,14 @@ def mix(docs: DataFrame) -> DataFrame:
     running = W.partitionBy("source").orderBy("_prefix").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0)))
     placed = placed.withColumn("_left", F.greatest(F.lit(0), F.least(F.col("_words"), F.col("_rest") - F.col("_before"))).cast("long"))
-    p = placed.select(F.col("source").alias("_s"), F.col("_prefix").alias("_p"), "_words", "source_size", "target", "_whole", "_left").alias("p")
-    # Few rows a source, so this side is small unless there are very many sources; the planner sees its true size.
-    full = sized.join(p, same(F.col("source"), F.col("_s")) & (F.col("_prefix") == F.col("_p")))
-    edge = (F.col("_left") > 0) & (F.col("_left") < F.col("_words"))
-    plain = full.where(~edge).withColumn("_more", F.when(F.col("_left") > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
+    parts = placed.select(F.col("source").alias("_s"), F.col("_prefix").alias("_p"), "_words", "source_size", "target", "_whole", "_left")
+    parts = saved(parts.withColumn("_edge", (F.col("_left") > 0) & (F.col("_left") < F.col("_words"))), "mix-parts")
+    parts = F.broadcast(parts) if parts.count() <= PARTS else parts
+    met = lambda p: docs.withColumn("_prefix", prefix).join(p, same(F.col("source"), F.col("_s")) & (F.col("_prefix") == F.col("_p"))).withColumn("size", n_words(F.col("text")))
+    plain = met(parts.where("NOT _edge")).withColumn("_more", F.when(F.col("_left") > 0, F.col("size")).otherwise(F.lit(0)).cast("long"))
+    edge = met(parts.where("_edge")).withColumn("_digest", digest(F.col("doc_id")))
     drawn = W.partitionBy("_s", "_p").orderBy("_digest", "size").rowsBetween(W.unboundedPreceding, -1)
-    cut = full.where(edge).withColumn("_more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - F.coalesce(F.sum("size").over(drawn), F.lit(0)))).cast("long"))
+    cut = edge.withColumn("_more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left") - F.coalesce(F.sum("size").over(drawn), F.lit(0)))).cast("long")).drop("_digest")
     both = plain.unionByName(cut).withColumn("taken", F.col("_whole") * F.col("size") + F.col("_more"))
     return both.select(*docs.columns, *new)
 

@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import cases
 
-from quillspark.llm import common, components, decontam, langid, pii, pseudolm, quality, queries, secrets, simhash, suffixes, toxicity
+from quillspark.llm import common, components, decontam, langid, mixing, pii, pseudolm, quality, queries, secrets, simhash, suffixes, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +45,20 @@ def test_quality(spark, folder):
     assert all(not (r.base_failed and r.kept) for r in run(spark, "op1_quality", folder))
 
 
+def test_windows_of_very_long_texts(spark, folder, monkeypatch):
+    monkeypatch.setattr(quality, "PACKED", 70)
+    docs = common.read(spark, folder, "documents")
+    got = Counter((r.doc_id, r.n_repeat_words) for r in common.saved(quality.statistics(docs.select("doc_id", "text")).drop("text"), "t").collect())
+    assert got == Counter((d["doc_id"], cases.base_quality(d["text"])[4]) for d in cases.docs(folder))
+
+
+def test_mixing_without_broadcast(spark, folder, monkeypatch):
+    docs = common.read(spark, folder, "documents").select("doc_id", "source", "text")
+    one = Counter(mixing.mix(docs).drop("text").collect())
+    monkeypatch.setattr(mixing, "PARTS", 0)
+    assert Counter(mixing.mix(docs).drop("text").collect()) == one
+
+
 def robust(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and lower factor of a group's estimate, in plain numpy."""
     floors = np.array(list(quality.FLOORS.values()))
