@@ -27,6 +27,8 @@ HIDDEN, STEPS, SEED = 8, 64, 7
 #: Learning rows of a language at most, and of all languages together; a language has 8 at least.
 ROWS, ALL_ROWS, SLICES = 400, 25_600, 8
 EPOCHS, BATCH, RATE = 6, 256, 0.02
+#: Languages whose table may be broadcast.
+LISTED = 10_000
 #: Windows scored at once.
 WINDOWS = 2048
 
@@ -152,6 +154,7 @@ def learn(docs: DataFrame) -> tuple[list[str], Network | None]:
     draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003))
     at = lambda i: 1 + F.pmod(F.xxhash64("doc_id", i), F.greatest(F.char_length("text") - STEPS, F.lit(1)))
     cut = F.transform(F.sequence(F.lit(1), F.lit(SLICES)), lambda i: F.substring(F.col("text"), at(i).cast("int"), F.lit(STEPS)))
+    share = F.broadcast(share) if len(langs) <= LISTED else share
     few = rows.join(share, "lang").withColumn("_draw", draw).where(F.col("_draw") < F.col("_share") * 1_000_003).select("lang", "_draw", "doc_id", cut.alias("slices")).collect()
     slices, labels = [], []
     by_lang: dict[str, list] = {x: [] for x in langs}
