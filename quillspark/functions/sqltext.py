@@ -78,6 +78,11 @@ class Dialect:
         spots = f"filter(transform(ps, p -> CAST(regexp_instr({x}, p) AS BIGINT)), v -> v > 0)"
         return f"CASE WHEN {some} THEN array_min(transform({table}, (ps, i) -> get({spots}, 0) * 1000 + i)) END"
 
+    def first_of(self, x: str, names: list[str], base: int) -> str:
+        """base plus the place of the first name that x holds; x is stated once, so a filter that is pushed down costs no more."""
+        table = "array(" + ", ".join(map(self.text, names)) + ")"
+        return f"get(filter(transform({table}, (n, i) -> CASE WHEN contains({x}, n) THEN i + {base} END), v -> v IS NOT NULL), 0)"
+
     def hits(self, x: str, catalog: list[tuple[str, str]]) -> str:
         """The names of the (name, pattern) that match x, in order."""
         some = self.like(x, "(?i)(?:" + ")|(?:".join(p.removeprefix("(?i)") for _, p in catalog) + ")")
@@ -190,6 +195,9 @@ class Duck(Dialect):
         entry = lambda ps: "coalesce(" + ", ".join(f"nullif({self.first_at(x, '(?i)' + p)}, 0)" for p in ps) + ")"
         return "least(" + ", ".join(f"CAST({entry(ps)} AS BIGINT) * 1000 + {i}" for i, ps in enumerate(catalog)) + ")"
 
+    def first_of(self, x: str, names: list[str], base: int) -> str:
+        return "CASE " + " ".join(f"WHEN {self.contains(x, lit(n))} THEN {base + i}" for i, n in enumerate(names)) + " END"
+
     def hits(self, x: str, catalog: list[tuple[str, str]]) -> str:
         return self.some(*[f"CASE WHEN {self.like(x, p)} THEN {lit(n)} END" for n, p in catalog])
 

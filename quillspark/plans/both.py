@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.sqltext import DUCK, SPARK, Dialect, lit
-from ..session import stored
+from ..session import spread, stored
 from ..sources import fixtures
 from .entry import REGISTRY, query
 
@@ -61,7 +61,7 @@ class Names:
             return {"intake": f"{INTAKE_SQL} AS intake", "lines": f"{LINES_SQL} AS lines"}.get(name, name)
         view = f"qs_{name}"
         if name in ("intake", "lines"):
-            pages = intake(self._spark, self._spark.read.parquet(f"{self._dir}/documents.parquet"))
+            pages = intake(self._spark, spread(self._spark.read.parquet(f"{self._dir}/documents.parquet").select("doc_id", "text")))
             (pages if name == "intake" else lines(pages)).createOrReplaceTempView(view)
         else:
             self._spark.read.parquet(f"{self._dir}/{name}.parquet").createOrReplaceTempView(view)

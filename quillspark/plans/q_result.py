@@ -68,10 +68,9 @@ CARRIER_ROWS = (
 
 def carriers(q, source: str, x: str = "text", keep: str = "doc_id") -> str:
     """Of each row of source the carrier that x names first; of equal places the catalog's first; else a name of the policies."""
-    named = " ".join(f"WHEN {q.contains('u', q.text(n))} THEN {len(C.CARRIERS) + i}" for i, n in enumerate(_DNA + _ACCEPTED + _SELF))
     rows = q.values("carrier_rows", "ord, carrier, status, why", [(i, *r) for i, r in enumerate(CARRIER_ROWS)])
     spotted = f"SELECT {keep}, {squeezed(q, 'body')} AS u, {q.first_spot('body', [ps for _, _, ps in C.CARRIERS])} AS k FROM (SELECT {keep}, coalesce({x}, '') AS body FROM {source}) AS s0"
-    placed = f"SELECT {keep}, u, CAST(CASE WHEN k IS NOT NULL THEN k % 1000 {named} END AS INT) AS place FROM ({spotted}) AS s1"
+    placed = f"SELECT {keep}, u, CAST(coalesce(k % 1000, {q.first_of('u', _DNA + _ACCEPTED + _SELF, len(C.CARRIERS))}) AS INT) AS place FROM ({spotted}) AS s1"
     return f"(SELECT {keep}, u, carrier, status, why FROM ({placed}) AS s2 LEFT JOIN {rows} ON ord = place) AS carriers"
 
 
@@ -89,13 +88,13 @@ def cpt(q, t) -> str:
 
     intents = ", ".join(f"{intent(c)} AS i_{c}" for c in codes)
     titration = " OR ".join(q.contains("upper(text)", q.text(p.upper())) for p in TITRATION)
-    found = f"SELECT doc_id, {hit}, {intents}, ({titration}) AS titration FROM (SELECT doc_id, coalesce(text, '') AS text FROM {t.intake}) AS a"
+    found = f"SELECT doc_id, {hit}, {intents}, ({titration}) AS titration FROM (SELECT doc_id, coalesce(text, '') AS text FROM {t.intake}) AS a WHERE {q.like('text', '(?i)(' + '|'.join(p for _, _, ps in P.CPT for p in ps) + ')')}"
     listed = q.some(*[f"CASE WHEN h_{c} THEN '{c}' END" for c in codes])
     child = "CASE WHEN h_95783 AND (NOT h_95782 OR i_95783 >= i_95782) THEN '95783' WHEN h_95782 THEN '95782' END"
     child_rank = "greatest(CASE WHEN h_95783 THEN i_95783 ELSE 0 END, CASE WHEN h_95782 THEN i_95782 ELSE 0 END)"
     first = f"SELECT *, {listed} AS codes, CASE WHEN {child} IS NOT NULL AND {child_rank} >= CASE WHEN h_95810 THEN i_95810 ELSE 0 END THEN {child} ELSE {q.get(listed, 1)} END AS first FROM ({found}) AS b"
     grown = "first NOT IN ('95782', '95783')"
-    primary = f"SELECT *, CASE WHEN h_95811 AND {grown} THEN CASE WHEN titration OR NOT h_95810 THEN '95811' ELSE '95810' END WHEN h_95810 AND {grown} THEN '95810' ELSE first END AS cpt, h_95811 AND {grown} AND NOT titration AS lacks, (h_G0399 OR h_95806) AND (h_95810 OR h_95811) AS homes FROM ({first}) AS c WHERE first IS NOT NULL"
+    primary = f"SELECT *, CASE WHEN h_95811 AND {grown} THEN CASE WHEN titration OR NOT h_95810 THEN '95811' ELSE '95810' END WHEN h_95810 AND {grown} THEN '95810' ELSE first END AS cpt, h_95811 AND {grown} AND NOT titration AS lacks, (h_G0399 OR h_95806) AND (h_95810 OR h_95811) AS homes FROM ({first}) AS c"
     weak = "cpt = '95810' AND ((h_95806 AND i_95806 = 1) OR (h_G0399 AND i_G0399 = 1))"
     pruned = q.keep("codes", "v", "NOT ((v = '95806' AND i_95806 = 1) OR (v = 'G0399' AND i_G0399 = 1))")
     reordered = f"CASE WHEN {weak} THEN {q.join(pruned, ',')} ELSE {q.join(q.array('cpt', q.join(q.keep('codes', 'v', 'v <> cpt'), ',')), ',')} END"
