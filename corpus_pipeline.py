@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near-duplicates (5-word shingles, Jaccard 0.8), that of the smallest id."""
+    """Keeps one document of each component of near-duplicates (SimHash fingerprints, and 5-word shingles of Jaccard 0.8), that of the smallest id."""
     return simhash.keep_one(docs)
 
 

@@ -1,8 +1,9 @@
-"""Near-duplicates by the Jaccard similarity of 5-word shingles, for the pipeline.
+"""Near-duplicates by SimHash fingerprints and by the Jaccard similarity of 5-word shingles, for the pipeline.
 
 Documents whose sets of WIDTH-word shingles (in ASCII lower case; of fewer words the whole) have a similarity of SIMILAR
-or more are linked, and documents reachable from each other are one component. At that similarity 64-bit SimHash
-fingerprints differ in some ten bits, too many for segments to find, so candidates come from MinHash: BANDS bands of ROWS
+or more are linked, so are those whose fingerprints are linked by operator 5, and documents reachable from each other by
+either are one component. At that similarity 64-bit SimHash fingerprints differ in some ten bits, too many for segments to
+find, so further candidates come from MinHash: BANDS bands of ROWS
 minima each. A pair of similarity s meets in some band but for a chance of (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8.
 
 Candidates are linked by stars, so their number is linear in the documents. A component of candidates is compared in tasks,
@@ -19,6 +20,8 @@ equal in all columns one stays. Null ids come last. Extra columns are left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -176,11 +179,24 @@ def compared(docs: DataFrame, chosen: DataFrame, repeats: bool) -> DataFrame:
     return components(firsts.select(F.col("_set").alias("a"), F.col("_first").alias("b"))).select(F.col("node").alias("_set"), F.col("root").alias("_first"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each component: its smallest doc_id; of repeated rows one."""
+def joined(rows: DataFrame, firsts: DataFrame, roots: DataFrame) -> DataFrame:
+    """The _set and _first of the components that Jaccard similarity (firsts) and fingerprints (roots: node, root) make together."""
+    pairs = rows.select("_set", "fp").distinct().join(firsts, "_set", "left").join(roots, F.col("node") == F.col("fp"), "left")
+    pairs = saved(pairs.select(F.coalesce("_first", "_set").alias("g"), F.coalesce("root", "fp").alias("f")).distinct(), "pairs")
+    heads = pairs.groupBy("f").agg(F.min("g").alias("a"), F.max("g").alias("z")).where("a < z").select("f", "a")
+    merged = components(pairs.join(heads, "f").select("a", F.col("g").alias("b")))
+    own = rows.select("_set").distinct().join(firsts, "_set", "left").select("_set", F.coalesce("_first", "_set").alias("g"))
+    return own.join(merged, F.col("g") == F.col("node"), "left").select("_set", F.coalesce("root", "g").alias("_first"))
+
+
+def keep_one(docs: DataFrame, fingerprints: Callable[[DataFrame], DataFrame], roots: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents with one row of each component: its smallest doc_id; of repeated rows one.
+
+    fingerprints adds the long fp to documents, and roots gives the (node, root) of those fp that are linked to others.
+    """
     s = F.col("_s")
-    rows = named(docs).select("_a", "_b", "doc_id", sketches(word_hashes(F.col("text"))).alias("_s"))
-    rows = rows.select("_a", "_b", "doc_id", s[0].alias("_set"), s[1].alias("_n"), F.slice(s, F.lit(3), F.lit(BANDS)).alias("_bands"))
+    rows = fingerprints(named(docs)).select("_a", "_b", "doc_id", "fp", sketches(word_hashes(F.col("text"))).alias("_s"))
+    rows = rows.select("_a", "_b", "doc_id", "fp", s[0].alias("_set"), s[1].alias("_n"), F.slice(s, F.lit(3), F.lit(BANDS)).alias("_bands"))
     rows = saved(rows, "near")
     # Rows that are equal in all columns have one name.
     twice = saved(rows.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a", "_b"), "twice")
@@ -191,7 +207,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     met = keyed.groupBy("key").agg(F.min("_set").alias("a"), F.max("_set").alias("b")).where("a < b").select("key", "a")
     near = components(keyed.join(met, "key").select("a", F.col("_set").alias("b")))
     chosen = near.join(sets, F.col("node") == F.col("_set")).select("root", "_set", "_n", F.col("_o")["a"].alias("_a"), F.col("_o")["b"].alias("_b"), "_bands")
-    firsts = compared(docs, saved(chosen, "candidates"), repeats).distinct()
+    firsts = saved(compared(docs, saved(chosen, "candidates"), repeats).distinct(), "firsts")
+    firsts = joined(rows, firsts, roots(rows.select("fp").distinct()))
     least = sets.join(firsts, "_set", "left").groupBy(F.coalesce("_first", "_set").alias("g")).agg(F.min("_o").alias("_o"))
     names = saved(least.select(F.col("_o")["a"].alias("_a"), F.col("_o")["b"].alias("_b")), "names")
     kept = listed(named(docs), names, "left_semi")

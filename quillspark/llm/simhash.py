@@ -137,5 +137,5 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each near-duplicate component by 5-word shingles, not by op5's fingerprints."""
-    return neardup.keep_one(docs)
+    """The documents with one row of each component that op5's links between fingerprints and similar 5-word shingles make."""
+    return neardup.keep_one(docs, fingerprints, lambda fps: components(links(fps)))

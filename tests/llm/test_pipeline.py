@@ -124,3 +124,22 @@ def test_empty_stage(spark, tmp_path, k):
     name = cases.write(tmp_path, 0)
     out = corpus_pipeline.STAGES[k][1](spark, read(spark, name, "documents"), name)
     assert out.collect() == [] and set(DOCUMENT_COLUMNS) <= set(out.columns)
+
+
+def test_near_dedup_links_by_fingerprints(spark):
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(24)]
+    rows = []
+    # The same 3-word shingles as often, since the ends are alike, in another order of 5-word shingles: equal fingerprints.
+    a, b, c = base[:8], base[8:16], base[16:]
+    turn = ["x1", "x2"]
+    for n, parts in enumerate(([a, b, c], [b, a, c], [c, b, a])):
+        rows.append((n, " ".join(w for p in parts for w in (*turn, *p, *turn)), "en", "s", 7))
+    rows.append((3, " ".join(f"v{r.randrange(10**6)}" for _ in range(30)), "en", "s", 7))
+    fps = [cases.fingerprint(t) for _, t, *_ in rows]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t, *_ in rows]
+    linked = [(i, j) for i in range(4) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    assert any(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for i, j in linked)
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    gone = {max(p) for p in linked}
+    assert sorted(k.doc_id for k in kept) == [n for n in range(4) if n not in gone]
