@@ -1,6 +1,7 @@
 """Folds against plain Python, and what must hold for any input."""
 
 import random
+import re
 from itertools import product
 
 import pytest
@@ -158,3 +159,32 @@ def test_title_case(spark):
     want = {"MARY-JANE o'neil": "Mary-Jane O'Neil", " de la  CRUZ": "De La  Cruz", "élodie d'arc": "Élodie D'Arc"}
     for raw, name in want.items():
         assert spark.createDataFrame([(raw,)], "x string").selectExpr(text.title_case(SPARK, "x")).first()[0] == name
+
+
+def test_needles_lose_no_match(spark):
+    names = [(f"{n}{i}", "(?i)" + p) for n, _, ps in carriers.CARRIERS for i, p in enumerate(ps)] + [(n, rf"(?i)\b({n})\b") for n, _ in conditions.CONDITIONS]
+    texts = ["", None, "straße", *[r for _, p in names for r in (re.sub(r"\(\?i\)|\\[bs]|[\\()?:+*]", " ", p).lower(),)], "Blue  Cross and\tUHC; Well care", "denies sleep apnea, OBESITY"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, x string")
+    want = df.selectExpr("i", *[f"coalesce(regexp_like(x, {SPARK.pattern(p)}), false) AS c{k}" for k, (_, p) in enumerate(names)]).collect()
+    got = {r.i: r.h for r in df.selectExpr("i", f"{SPARK.hits('x', names)} AS h").collect()}
+    assert {r.i: [n for k, (n, _) in enumerate(names) if r[f"c{k}"]] for r in want} == {i: h or [] for i, h in got.items()}
+    each = df.selectExpr("i", *[f"{SPARK.like('x', p)} AS c{k}" for k, (_, p) in enumerate(names)]).collect()
+    assert sorted(each) == sorted(want)
+
+
+def test_names_are_looked_up_in_a_text_that_is_made_once():
+    found = SPARK.first_of("costly(x)", ["A", "B"], 7)
+    assert found.count("costly(x)") == 1 and "contains(costly(x)" not in found
+    assert "contains" in SPARK.like("x", r"(?i)prior\s+study")
+
+
+def test_case_is_mapped_letter_by_letter(spark):
+    rows = [("ßzu d'ſx", "ẞzu D'Sx"), ("ΑΣ ﬁx", "Ασ ﬁx"), ("İa", "Ia")]
+    got = [r.v for r in spark.createDataFrame(rows, "x string, w string").orderBy("w").selectExpr(f"{text.title_case(SPARK, 'x')} AS v").collect()]
+    assert got == sorted(w for _, w in rows)
+
+
+def test_value_in_text_in_other_case(spark, tmp_path):
+    spark.createDataFrame([(999999937, "xStraße ab cd")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = suite.queries()["value_in_text"](spark, str(tmp_path)).where("doc_id = 999999937").first()
+    assert (got["value"], got["match_type"]) == ("STRAẞE AB", "case_insensitive")
