@@ -142,14 +142,14 @@ def page_topk(q, t):
 
 @both("value_in_text")
 def value_in_text(q, t):
-    bare = lambda x: q.replace(f"lower({x})", "[^a-z0-9]", "")
+    bare = lambda x: q.replace(q.lower(x), "[^a-z0-9]", "")
     digits = lambda x: q.replace(x, "[^0-9]", "")
-    words = q.keep(q.split("lower(v)", r"\s+"), "w", "length(w) > 1")
-    missing = q.size(q.keep(words, "w", f"NOT {q.contains('lower(text)', 'w')}"))
+    words = q.keep(q.split(q.lower("v"), r"\s+"), "w", "length(w) > 1")
+    missing = q.size(q.keep(words, "w", f"NOT {q.contains(q.lower('text'), 'w')}"))
     return f"""SELECT doc_id, v AS value, CASE WHEN v IS NULL OR text IS NULL THEN 'not_found' WHEN length(v) < 2 THEN 'too_short' WHEN {q.contains('text', 'v')} THEN 'exact'
-      WHEN {q.contains('lower(text)', 'lower(v)')} THEN 'case_insensitive' WHEN length({bare('v')}) > 2 AND {q.contains(bare('text'), bare('v'))} THEN 'normalized'
+      WHEN {q.contains(q.lower('text'), q.lower('v'))} THEN 'case_insensitive' WHEN length({bare('v')}) > 2 AND {q.contains(bare('text'), bare('v'))} THEN 'normalized'
       WHEN {q.size(words)} > 1 AND {missing} = 0 THEN 'words_split' WHEN length({digits('v')}) >= 7 AND {q.contains(digits('text'), digits('v'))} THEN 'digits' ELSE 'not_found' END AS match_type
-      FROM (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN substring(text, 3, 12) WHEN 1 THEN upper(substring(text, 2, 9)) WHEN 2 THEN concat(substring(text, 4, 5), '  ', substring(text, 12, 5)) ELSE '(743) 555-3824' END AS v FROM {t.intake}) AS x"""
+      FROM (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN substring(text, 3, 12) WHEN 1 THEN {q.upper('substring(text, 2, 9)')} WHEN 2 THEN concat(substring(text, 4, 5), '  ', substring(text, 12, 5)) ELSE '(743) 555-3824' END AS v FROM {t.intake}) AS x"""
 
 
 @both("log_redact")
