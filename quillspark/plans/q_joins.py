@@ -19,7 +19,7 @@ PREFIXES = [("ABC", "BCBS NV (Anthem)"), ("A11", "BCBS TX"), ("W12", "Horizon BC
 @both("join_preauth")
 def join_preauth(q, t):
     rules = q.values("preauth", "who, code, action, note", [(c.lower(), p, a, n) for c, p, a, n in C.PREAUTH])
-    return f"SELECT carriers.doc_id, carrier, cpt, action, note FROM {R.carriers(q, t.intake)} JOIN {R.cpt(q, t)} ON carriers.doc_id = procedures.doc_id JOIN {rules} ON who = lower(carrier) AND code = cpt"
+    return f"SELECT carriers.doc_id, carrier, cpt, action, note FROM {R.main_carriers(q, t)} JOIN {R.cpt(q, t)} ON carriers.doc_id = procedures.doc_id JOIN {rules} ON who = lower(carrier) AND code = cpt"
 
 
 @both("join_regex_catalog")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..catalogs.conditions import CONDITIONS
 from ..catalogs.cpt import CPT
 from ..catalogs.icd import ICD
+from ..functions import matching
 from .both import both
 from .q_detect import PHONE
 
@@ -54,11 +55,12 @@ def dx_past_encounters(q, t):
 def dx_from_problems(q, t):
     """Conditions that a line names, any blanks between their words, without a negation in the 40 characters before."""
     names = {n: (n.replace(" ", r"\s+").replace("-", r"[-\s]"), c) for n, c in CONDITIONS}
+    named = r"(?i)\b(?:" + "|".join(p for p, _ in names.values()) + r")\b"
     # What stands right before a condition counts against it, so hits that a negation leads are taken away.
     hits = q.hits("text", [(n + "|" + c, rf"(?i)\b({p})\b") for n, (p, c) in names.items()])
     denied = q.hits("text", [(n + "|" + c, rf"(?i)\b(no|denies|without)\s[ -~]{{0,40}}({p})\b") for n, (p, c) in names.items()])
     less = f"array_except(found, coalesce(denied, array()))" if q.name == "spark" else "list_filter(found, lambda v: NOT list_contains(coalesce(denied, []), v))"
-    found = f"SELECT doc_id, line, {q.explode(less)} AS hit FROM (SELECT doc_id, line, {hits} AS found, {denied} AS denied FROM {t.lines}) AS h"
+    found = f"SELECT doc_id, line, {q.explode(less)} AS hit FROM (SELECT doc_id, line, {hits} AS found, {denied} AS denied FROM {t.picked('conditions', matching.having(named))}) AS h"
     return f"SELECT doc_id, {q.replace('hit', '[|].*$', '')} AS condition, {q.replace('hit', '^.*[|]', '')} AS code, min(line) AS line FROM ({found}) AS x GROUP BY 1, 2, 3"
 
 
