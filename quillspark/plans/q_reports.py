@@ -228,7 +228,7 @@ def agg_ocr_quality(q, t):
 def agg_ocr_flags(q, t):
     conf = "(l_quantity / 50)"
     return f"""SELECT l_orderkey AS doc_id, avg({conf}) AS mean_conf, max(CASE WHEN l_returnflag = 'R' AND {conf} < 0.8 THEN 1 ELSE 0 END) = 1 AS low_critical,
-      CAST({count_if(f'{conf} < 0.8')} AS DOUBLE) / count(*) > 0.45 AS unclear, CAST({count_if(f'{conf} < 0.6')} AS DOUBLE) / count(*) > 0.3 AS handwritten, avg({conf}) < 0.8 AS low_mean FROM {t.lineitem} GROUP BY 1"""
+      CAST({count_if(f'{conf} < 0.8')} AS DOUBLE) / count(*) > 0.45 AS unclear, CAST({count_if(f'{conf} < 0.6')} AS DOUBLE) / count(*) > 0.3 AS handwritten, avg({conf}) < 0.8 AS low_mean FROM {t.in_order('lineitem', 'l_orderkey')} GROUP BY 1"""
 
 
 @both("agg_zone_hits")
