@@ -1,6 +1,6 @@
 """The order-dependent folds: near-duplicate lines, member-id merging and box suppression.
 
-Near-duplicate lines are a fold of built-in functions. The others go through applyInPandas by document or page, each of
+Near-duplicate lines and boxes are folds of built-in functions. Member ids go through applyInPandas by document, each of
 which is one small group.
 """
 
@@ -113,17 +113,29 @@ def iou(a: tuple, b: tuple) -> float:
     return both / union if union > 0 else 0.0
 
 
-def _suppress(group: pd.DataFrame) -> pd.DataFrame:
-    kept = []
-    for r in group.sort_values(["conf", "box"], ascending=[False, True]).itertuples():
-        if all(iou((r.x, r.y, r.w, r.h), (k.x, k.y, k.w, k.h)) <= 0.6 for k in kept):
-            kept.append(r)
-    return group[group["box"].isin([k.box for k in kept])]
+BOXES = "doc_id long, page int, box int, x double, y double, w double, h double, conf double, text string"
 
 
-BOXES = "doc_id long, page int, box int, x double, y double, w double, h double, conf double, text string"
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether iou of two boxes is above 0.6, in the same steps; boxes with an unknown side overlap nothing."""
+    w = F.least(a.x + a.w, b.x + b.w) - F.greatest(a.x, b.x)
+    h = F.least(a.y + a.h, b.y + b.h) - F.greatest(a.y, b.y)
+    common = F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h)
+    union = a.w * a.h + b.w * b.h - common
+    sides = a.x + a.y + a.w + a.h + b.x + b.y + b.w + b.h
+    return F.when(sides.isNull() | F.isnan(sides) | (union <= 0), False).otherwise(common / union > 0.6)
 
 
 def suppress_boxes(boxes: DataFrame) -> DataFrame:
-    """Of boxes of a page that overlap by more than 0.6 the one of higher confidence."""
-    return boxes.select(*[c.split()[0] for c in BOXES.split(", ")]).groupBy("doc_id", "page").applyInPandas(_suppress, BOXES)
+    """Of boxes of a page that overlap by more than 0.6 the one of higher confidence, then of the lower number.
+
+    A fold of built-in functions over a page's boxes in that order; unknown confidences and numbers come last.
+    """
+    cast = [F.col(c).cast(kind).alias(c) for c, kind in (f.split() for f in BOXES.split(", "))]
+    unknown = F.col("conf").isNull() | F.isnan("conf")
+    place = [unknown.alias("_unsure"), F.when(~unknown, -F.col("conf")).alias("_rank"), F.col("box").isNull().alias("_unnumbered")]
+    held = F.struct(*place, "box", "x", "y", "w", "h", "text", "conf")
+    pages = boxes.select(*cast).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(held)).alias("_boxes"))
+    keep = lambda kept, b: F.when(F.exists(kept, lambda k: overlaps(k, b)), kept).otherwise(F.array_append(kept, b))
+    kept = F.aggregate("_boxes", F.slice("_boxes", 1, 0), keep)
+    return pages.select("doc_id", "page", F.inline(kept)).select(*[f.split()[0] for f in BOXES.split(", ")])
