@@ -9,14 +9,16 @@ import uuid
 
 from ..catalogs import cpt as P
 from ..catalogs import payers as Y
+from ..functions import text as T
 from ..functions.sqltext import DUCK, SPARK
-from ..operators import folds
+from ..operators import candidates, folds
 from ..session import shared_dir
 from ..sources import files
 from ..streaming import streams
+from . import q_result as R
 from .both import Names, intake
 from .entry import query
-from .q_detect import member_ids
+from .q_detect import INSURANCE_WORDS, MEMBER_MARK, MEMBER_SOURCES, member_ids, placed_members, rule_scores
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +56,17 @@ def member_id_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.merge_member_ids(spark.sql(f"SELECT doc_id, value, score, n FROM {member_ids(SPARK, names)}"))
 
 
+@query("member_id_rank_merged")
+def member_id_rank_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank of ids after they are merged, those that carriers' patterns propose among them."""
+    names = Names(spark, sf_dir)
+    carrier = R.main_carriers(SPARK, names)
+    texts = spark.sql(f"SELECT intake.doc_id, {T.normalized(SPARK, 'text')} AS text, carrier FROM {names.held(MEMBER_MARK, candidates.DASHED)} LEFT JOIN {carrier} ON carriers.doc_id = intake.doc_id")
+    texts.mapInArrow(candidates.merged_batches(INSURANCE_WORDS), candidates.SCHEMA).createOrReplaceTempView("qs_found_ids")
+    ids = names.stored("merged_ids", "(SELECT * FROM qs_found_ids)").replace(" AS merged_ids", " AS m")
+    return spark.sql(f"SELECT doc_id, value, total, place FROM {placed_members(SPARK, rule_scores(SPARK, names, ids), MEMBER_SOURCES | {'carrier_pattern': 40})} AS ranked")
+
+
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as boxes of a page: place by quantity and line number."""
     rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/lineitem.parquet")
